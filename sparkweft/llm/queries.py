@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
+from . import mixing, tokens
 from .common import table
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary="piece_bpe_32k.model", limit=4096)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_token_counts,)}
+    return {f.__name__: f for f in (op9_mix_sources, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
