@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality, simhash, tokens
+from . import langid, mixing, quality, simhash, tokens
 from .common import table
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    return langid.identify(docs.withColumn("held_out", langid.held_out(F.col("doc_id"))), model, carry=("held_out",))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -28,7 +35,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op8_simhash_near_dedup, op9_mix_sources, op10_token_counts)}
+    return {f.__name__: f for f in (op3_language_id, op5_quality_rules, op8_simhash_near_dedup, op9_mix_sources, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
