@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, simhash, tokens
+from . import langid, mixing, quality, simhash, tokens, warc
 from .common import table
 
 
@@ -17,6 +17,20 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.withColumn("held_out", langid.held_out(F.col("doc_id"))), model, carry=("held_out",))
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY digest HAVING count(*) > 1)
+SELECT p.page_id, p.n AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN f.first IS NOT NULL AND p.page_id IS DISTINCT FROM f.first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id IS DISTINCT FROM f.first THEN f.first END AS refers_to, true AS digest_ok
+FROM p LEFT JOIN f ON p.n >= 1000 AND p.digest = f.digest
+"""
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -35,8 +49,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op5_quality_rules, op8_simhash_near_dedup, op9_mix_sources, op10_token_counts)}
+    return {f.__name__: f for f in (op3_language_id, op4_warc_round_trip, op5_quality_rules, op8_simhash_near_dedup, op9_mix_sources, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_round_trip": OP4_SQL}
