@@ -51,34 +51,37 @@ def _range(first: Column | int, last: Column) -> Column:
 
 
 def _winnowed(ws: Column, window: int, k: int) -> Column:
-    """Probes of the kept k-grams: their hash, place, words, and the words to the left (nearest first) and right."""
+    """Probes of the kept k-grams: hash, place, and the words around as far as a window reaches.
+
+    ``before`` counts the words in ``around`` ahead of the k-gram.
+    """
     reach = window - k
     low = F.lit(0xFFFFFFFF)
 
     def probe(p: Column) -> Column:
         before = F.least(p, F.lit(reach))
-        return F.struct(
-            F.xxhash64(F.slice(ws, p + 1, k)).alias("hash"),
-            p.alias("pos"),
-            F.slice(ws, p + 1, k).alias("mid"),
-            F.reverse(F.slice(ws, p - before + 1, before)).alias("left"),
-            F.slice(ws, p + 1 + k, reach).alias("right"),
-        )
+        return F.struct(F.xxhash64(F.slice(ws, p + 1, k)).alias("hash"), p.alias("pos"), before.alias("before"), F.slice(ws, p - before + 1, before + k + reach).alias("around"), F.lit(k).alias("n"))
 
     # The upper half of the hash over the place counted backwards: the least is the last of equal hashes.
-    ranked = F.transform(_range(0, F.size(ws) - k), lambda i: F.xxhash64(F.slice(ws, i + 1, k)).bitwiseAND(F.lit(-4294967296)).bitwiseOR(low - i))
-    kept = _let(ranked, lambda e: F.array_distinct(F.transform(_range(1, F.size(ws) - window + 1), lambda s: F.array_min(F.slice(e, s, reach + 1)))))
+    ranked = F.transform(_range(0, F.size(ws) - k), lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(k)]).bitwiseAND(F.lit(-4294967296)).bitwiseOR(low - i))
+    kept = _let(ranked, lambda e: F.array_distinct(F.transform(_range(0, F.size(ws) - window), lambda s: F.least(*[F.get(e, s + j) for j in range(reach + 1)]))))
     return F.transform(F.transform(kept, lambda e: (low - e.bitwiseAND(low)).cast("int")), probe)
 
 
 def _whole(ws: Column, length: int | Column) -> Column:
-    """Probes of every run of ``length`` words."""
-    none = F.slice(ws, 1, 0)
+    """Probes of every run of ``length`` words; ``n`` tells them from those of k words."""
     run = lambda s: F.slice(ws, s, length)
-    return F.transform(_range(1, F.size(ws) - length + 1), lambda s: F.struct(F.xxhash64(run(s)).alias("hash"), (s - 1).cast("int").alias("pos"), run(s).alias("mid"), none.alias("left"), none.alias("right")))
+    n = F.lit(length) if isinstance(length, int) else length
+    return F.transform(_range(1, F.size(ws) - length + 1), lambda s: F.struct(F.xxhash64(run(s), F.lit("whole")).alias("hash"), (s - 1).cast("int").alias("pos"), F.lit(0).alias("before"), run(s).alias("around"), n.alias("n")))
+
+
+def _parts(around: str, before: str, n: str) -> dict[str, Column]:
+    """The k-gram, the words to its left, the nearest first, and those to its right."""
+    words_, b, n_ = F.col(around), F.col(before), F.col(n)
+    return {"mid": F.slice(words_, b + 1, n_), "left": F.reverse(F.slice(words_, F.lit(1), b)), "right": F.slice(words_, b + n_ + 1, F.size(words_))}
 
 
-def _same(a: str, b: str) -> Column:
+def _same(a: Column, b: Column) -> Column:
     """How many words two lists share from their start."""
     equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
     return _let(equal, lambda z: F.when(F.array_position(z, False) == 0, F.size(z)).otherwise(F.array_position(z, False) - 1)).cast("int")
@@ -92,7 +95,7 @@ def item_fingerprints(benchmark: DataFrame, window: int = WINDOW, k: int = K, it
 
     item = F.col(item_col).cast("string").alias("item")
     rows = benchmark.select(item, F.explode(_let(words(F.col(text_col)), lambda ws: F.transform(probes(ws), lambda p: F.struct(p.alias("p"), (F.size(ws) < window).alias("short"))))).alias("x"))
-    rows = rows.select("item", "x.short", "x.p.hash", "x.p.mid", "x.p.left", "x.p.right")
+    rows = rows.select("item", "x.short", "x.p.*").withColumns(_parts("around", "before", "n"))
     return rows.groupBy("hash", "mid", "left", "right", "short").agg(F.collect_set("item").alias("items"))
 
 
@@ -105,10 +108,12 @@ def hits(docs: DataFrame, fingerprints: DataFrame, window: int = WINDOW, k: int
 
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(_let(words(text), probes)).alias("d"))
-    rows = rows.select("doc_id", "text_hash", "d.hash", "d.pos", F.col("d.mid").alias("mid"), F.col("d.left").alias("before"), F.col("d.right").alias("after"))
+    rows = rows.select("doc_id", "text_hash", "d.*")
     if fingerprints.count() <= broadcast_rows:
         fingerprints = F.broadcast(fingerprints)
-    found = rows.join(fingerprints, ["hash", "mid"]).withColumn("back", _same("before", "left")).withColumn("on", _same("after", "right"))
+    part = _parts("around", "before", "n")
+    found = rows.join(fingerprints, "hash").filter(part["mid"] == F.col("mid"))
+    found = found.withColumn("back", _same(part["left"], F.col("left"))).withColumn("on", _same(part["right"], F.col("right")))
     found = found.filter(F.col("short") | (F.col("back") + F.col("on") + k >= window))
     first = F.when(F.col("short"), F.col("pos")).otherwise(F.col("pos") - F.col("back"))
     last = F.when(F.col("short"), F.col("pos") + F.size("mid") - 1).otherwise(F.col("pos") + k - 1 + F.col("on"))
