@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality, simhash, tokens, warc
+from . import decontaminate, langid, mixing, quality, secrets, simhash, tokens, warc
 from .common import table
 
 
@@ -32,6 +32,18 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN ids USING (r)
 """
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(spark))
+    real = F.filter("findings", lambda f: f["secret"])
+    return found.select(
+        "doc_id",
+        F.size("findings").cast("long").alias("n_candidates"),
+        F.size(real).cast("long").alias("n_secrets"),
+        F.array_max(F.transform("findings", lambda f: f["score"])).alias("max_score"),
+        F.sha2("redacted", 256).alias("redacted_sha256"),
+    )
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
@@ -70,7 +82,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_language_id, op4_warc_round_trip, op5_quality_rules, op8_simhash_near_dedup, op9_mix_sources, op10_token_counts)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_language_id, op4_warc_round_trip, op5_quality_rules, op8_simhash_near_dedup, op9_mix_sources, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
