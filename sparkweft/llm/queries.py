@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality, secrets, simhash, tokens, warc
+from . import decontaminate, langid, mixing, quality, secrets, simhash, suffixes, tokens, warc
 from .common import table
 
 
@@ -69,6 +69,26 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS win FROM (SELECT *, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE doc_id IS NOT NULL)),
+f AS (SELECT win, min(doc_id) AS first FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT r, i FROM w JOIN f USING (win) WHERE first < doc_id),
+b AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM g),
+k AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM b),
+s AS (SELECT r, run, min(i) AS a, max(i) + 50 AS z FROM k GROUP BY r, run),
+p AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS prev FROM s),
+x AS (SELECT p.r, sum(z - a) AS gone, count(*) AS spans, max(z) AS last, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS kept FROM p JOIN d USING (r) GROUP BY p.r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN x.r IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN x USING (r)
+"""
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
 
@@ -82,8 +102,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_language_id, op4_warc_round_trip, op5_quality_rules, op8_simhash_near_dedup, op9_mix_sources, op10_token_counts)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_language_id, op4_warc_round_trip, op5_quality_rules, op7_suffix_array_dedup, op8_simhash_near_dedup, op9_mix_sources, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op4_warc_round_trip": OP4_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op4_warc_round_trip": OP4_SQL, "op7_suffix_array_dedup": OP7_SQL}
