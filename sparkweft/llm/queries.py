@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import decontaminate, langid, mixing, quality, secrets, simhash, suffixes, tokens, warc
 from .common import table
 
@@ -102,8 +104,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_language_id, op4_warc_round_trip, op5_quality_rules, op7_suffix_array_dedup, op8_simhash_near_dedup, op9_mix_sources, op10_token_counts)}
+    named = {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_language_id, op4_warc_round_trip, op5_quality_rules, op7_suffix_array_dedup, op8_simhash_near_dedup, op9_mix_sources, op10_token_counts)}
+    return named | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op4_warc_round_trip": OP4_SQL, "op7_suffix_array_dedup": OP7_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op4_warc_round_trip": OP4_SQL, "op7_suffix_array_dedup": OP7_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
