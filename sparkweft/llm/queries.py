@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, langid, mixing, quality, secrets, simhash, suffixes, tokens, warc
+from . import chat, decontaminate, langid, mixing, quality, secrets, simhash, suffixes, tokens, warc
 from .common import table
 
 
@@ -71,6 +71,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = chat.format_chats(table(spark, sf_dir, "conversations"))
+    return done.select("conv_id", "turn", "role", "new_role", "action", "inserted", "cost", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -104,7 +109,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_language_id, op4_warc_round_trip, op5_quality_rules, op7_suffix_array_dedup, op8_simhash_near_dedup, op9_mix_sources, op10_token_counts)}
+    named = {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_language_id, op4_warc_round_trip, op5_quality_rules, op6_chat_format, op7_suffix_array_dedup, op8_simhash_near_dedup, op9_mix_sources, op10_token_counts)}
     return named | {"pipeline": corpus_pipeline.run}
 
 
