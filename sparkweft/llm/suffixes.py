@@ -309,16 +309,18 @@ def _judge(group: pa.Table) -> pa.Table:
         by.setdefault(mark, []).append((string, refs))
     several = [rows for rows in by.values() if len(rows) > 1]
     part: list[tuple[bytes, list]] = []
+    size = 0
     for k, rows in enumerate(several):
         part += rows
-        if k + 1 < len(several) and sum(len(s) for s, _ in part) < 4 << 20:
+        size += sum(len(s) for s, _ in rows)
+        if k + 1 < len(several) and size < 4 << 20:
             continue
         for (string, refs), hit in zip(part, repeated_windows([s for s, _ in part], [r[0][0] for _, r in part])):
             if hit.any():
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
                     gone += [(doc, text_hash, place + a, b - a + LENGTH - 1) for doc, text_hash, place in refs]
-        part = []
+        part, size = [], 0
     more_ids, more_runs = _runs(gone)
     return pa.table({"doc_id": pa.array(ids + more_ids, pa.int64()), "runs": pa.array(runs + more_runs, pa.binary())})
 
