@@ -112,7 +112,7 @@ def _features(c: Column, left: Column, right: Column, path: Column) -> Column:
         F.regexp_count(small, F.lit(f"(?={'|'.join(_BIGRAMS)})")) / n,
         1 - F.length(F.regexp_replace(small, "|".join(w for w in sorted(_WORDS, key=lambda w: (-len(w), w)) if len(w) > 2), "")) / n,
         flag(c.rlike("^[0-9a-f]+$") | c.rlike("^[0-9A-F]+$")),
-        F.size(F.array_distinct(F.split(F.substring(c, 1, 200), ""))) / F.least(n, F.lit(62)),
+        F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(62)),
         flag(c.rlike("^(AKIA[A-Z0-9]{16}|gh[pos]_|xox[bp]-|[sr]k_live_|AIza|glpat-|eyJ)")),
         flag(left.rlike(r"([=:]|=>|\b[Bb]earer)[\x20\x09\"'`]*$")),
         flag(left.rlike(r"[\"'`]$") & right.rlike(r"^[\"'`]")),
