@@ -2,18 +2,22 @@
 
 Of every window of ``WINDOW`` words the k-gram with the least hash is kept (the last of equals). A
 window that a document and a benchmark item share selects the same k-gram at the same place in both,
-so joining the kept k-grams finds every shared window. A hit is then extended: the words to both sides
-are compared, as far as a window that holds the k-gram reaches, and the words of the document inside
-shared windows are marked. Items shorter than a window are matched whole, by the hash of all their
-words; such probes are made only for lengths that some item has. Words are compared after the hashes.
-
-Documents are never shuffled: a map emits their fingerprints, and after the join one row for each
-document and each hit is grouped by document. The benchmark's fingerprints are broadcast up to
-``BROADCAST_ROWS`` rows (about 300 bytes each); a larger benchmark is joined by shuffling both sides.
+so joining the kept k-grams finds every shared window. A hit is then extended: each of the windows that
+hold the k-gram is looked up among the benchmark's, and the words of the document inside those found
+are marked. Items shorter than a window are windows of their own length, and all runs of that many words
+are looked up; such runs are made only for lengths that some item has. Words are compared, not just hashes.
+
+Documents are read once and never shuffled: a map emits a row for each document and for each window
+found, and of these narrow rows those with a window are grouped. Each distinct k-gram, window and set of
+items is one row of the benchmark's tables, so a passage of many items costs a document no more than
+another; what a document has is a number for its set of items, and only distinct sets are ever spelled
+out. The benchmark's tables are broadcast up to ``BROADCAST_ROWS`` rows (about 300 bytes each); a larger
+benchmark is joined by shuffling both sides, when what is shuffled is 15 words for each kept k-gram.
 
 Defined cases: a null or wordless text has no words and no hits; an item without words matches nothing;
 an item without id marks words but isn't listed; repeated documents get a row each, repeated items count
-once; very long texts only make more fingerprints.
+once; very long texts only make more fingerprints; of other columns of either table none is read, so their
+names may be any.
 """
 
 from __future__ import annotations
@@ -28,11 +32,13 @@ K = 5
 BROADCAST_ROWS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Runs are joined on the upper half of a hash; what it lets through is told apart by its words.
+HIGH = -4294967296
 
 
 def lowered(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z in lower case; where all is ASCII the quicker function says the same."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def words(text: Column) -> Column:
@@ -44,108 +50,117 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _range(first: Column | int, last: Column) -> Column:
-    """first, ..., last; empty if last is smaller."""
-    first = F.lit(first) if isinstance(first, int) else first
-    return F.filter(F.sequence(first, F.greatest(first, last)), lambda i: i <= last)
+def _run_hashes(hashes: Column, n: int, more: list[Column]) -> Column:
+    """For each word the hash of the run of ``n`` words that starts there, as far as one does."""
+    runs = F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + j) for j in range(1, n)], *more).bitwiseAND(F.lit(HIGH)))
+    return F.slice(runs, F.lit(1), F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
 
 
-def _winnowed(ws: Column, window: int, k: int) -> Column:
-    """Probes of the kept k-grams: hash, place, and the words around as far as a window reaches.
+def _probes(ws: Column, lengths: list[Column | int], window: int, k: int) -> Column:
+    """Run hashes of the words by the length that they are for: of k words for ``window``, else of all.
 
-    ``before`` counts the words in ``around`` ahead of the k-gram.
+    ``lengths`` are the shorter lengths. Each list ends with a null, which stands for no run.
     """
-    reach = window - k
-    low = F.lit(0xFFFFFFFF)
-
-    def probe(p: Column) -> Column:
-        before = F.least(p, F.lit(reach))
-        return F.struct(F.xxhash64(F.slice(ws, p + 1, k)).alias("hash"), p.alias("pos"), before.alias("before"), F.slice(ws, p - before + 1, before + k + reach).alias("around"), F.lit(k).alias("n"))
-
-    # The upper half of the hash over the place counted backwards: the least is the last of equal hashes.
-    ranked = F.transform(_range(0, F.size(ws) - k), lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(k)]).bitwiseAND(F.lit(-4294967296)).bitwiseOR(low - i))
-    kept = _let(ranked, lambda e: F.array_distinct(F.transform(_range(0, F.size(ws) - window), lambda s: F.least(*[F.get(e, s + j) for j in range(reach + 1)]))))
-    return F.transform(F.transform(kept, lambda e: (low - e.bitwiseAND(low)).cast("int")), probe)
+    null = F.array(F.lit(None).cast("bigint"))
 
+    def of(hashes: Column) -> Column:
+        # The length in the hash tells a short item's run from a k-gram.
+        runs = [(window, _run_hashes(hashes, k, [])), *[(n, _run_hashes(hashes, n, [F.lit(n)])) for n in lengths]]
+        return F.array(*[F.struct(F.lit(n).alias("n"), F.concat(r, null).alias("runs")) for n, r in runs])
 
-def _whole(ws: Column, length: int | Column) -> Column:
-    """Probes of every run of ``length`` words; ``n`` tells them from those of k words."""
-    run = lambda s: F.slice(ws, s, length)
-    n = F.lit(length) if isinstance(length, int) else length
-    return F.transform(_range(1, F.size(ws) - length + 1), lambda s: F.struct(F.xxhash64(run(s), F.lit("whole")).alias("hash"), (s - 1).cast("int").alias("pos"), F.lit(0).alias("before"), run(s).alias("around"), n.alias("n")))
+    return _let(F.transform(ws, lambda w: F.xxhash64(w)), of)
 
 
-def _parts(around: str, before: str, n: str) -> dict[str, Column]:
-    """The k-gram, the words to its left, the nearest first, and those to its right."""
-    words_, b, n_ = F.col(around), F.col(before), F.col(n)
-    return {"mid": F.slice(words_, b + 1, n_), "left": F.reverse(F.slice(words_, F.lit(1), b)), "right": F.slice(words_, b + n_ + 1, F.size(words_))}
+def _kept(rows: DataFrame, window: int, k: int) -> DataFrame:
+    """Rows with ``probes`` -> one for each run that is kept, (n, at, e), and those without a run.
 
+    A k-gram is kept if one of the windows around it has none less, and none equal after it: if the
+    k-grams to both sides that it beats, without a gap, make up a window with it.
+    """
+    reach = window - k
+    rows = rows.select("*", F.explode_outer("probes").alias("probe")).drop("probes").select("*", "probe.n", "probe.runs").drop("probe")
+    rows = rows.select("*", F.posexplode_outer("runs").alias("at", "e"))
 
-def _same(a: Column, b: Column) -> Column:
-    """How many words two lists share from their start."""
-    equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    return _let(equal, lambda z: F.when(F.array_position(z, False) == 0, F.size(z)).otherwise(F.array_position(z, False) - 1)).cast("int")
-
+    def beaten(step: int) -> Column:
+        count = F.lit(reach)
+        for j in range(reach, 0, -1):
+            other = F.get("runs", F.col("at") + step * j)
+            count = F.when(F.coalesce(other > F.col("e") if step > 0 else other >= F.col("e"), F.lit(False)), count).otherwise(F.lit(j - 1))
+        return count
 
-def item_fingerprints(benchmark: DataFrame, window: int = WINDOW, k: int = K, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(hash, mid, left, right, short, items): the distinct kept k-grams with their context, and who has them."""
+    return rows.filter(F.col("e").isNull() | (F.col("n") < window) | (beaten(-1) + beaten(1) >= reach)).drop("runs")
 
-    def probes(ws: Column) -> Column:
-        return F.when(F.size(ws) >= window, _winnowed(ws, window, k)).when(F.size(ws) > 0, _whole(ws, F.size(ws)))
 
+def benchmark_tables(benchmark: DataFrame, window: int = WINDOW, k: int = K, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: (key, n) of the k-grams that windows keep, (window_hash, run, set_id) of the windows, (set_id, items)."""
     item = F.col(item_col).cast("string").alias("item")
-    rows = benchmark.select(item, F.explode(_let(words(F.col(text_col)), lambda ws: F.transform(probes(ws), lambda p: F.struct(p.alias("p"), (F.size(ws) < window).alias("short"))))).alias("x"))
-    rows = rows.select("item", "x.short", "x.p.*").withColumns(_parts("around", "before", "n"))
-    return rows.groupBy("hash", "mid", "left", "right", "short").agg(F.collect_set("item").alias("items"))
-
-
-def hits(docs: DataFrame, fingerprints: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(id, text_hash, first, last, items): runs of a document's words inside windows that items share."""
-    lengths = sorted(r[0] for r in fingerprints.filter("short").select(F.size("mid").alias("n")).distinct().collect())  # fewer than `window`
-
-    def probes(ws: Column) -> Column:
-        return F.concat(_winnowed(ws, window, k), *[_whole(ws, n) for n in lengths])
-
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(_let(words(text), probes)).alias("d"))
-    rows = rows.select("doc_id", "text_hash", "d.*")
-    if fingerprints.count() <= broadcast_rows:
-        fingerprints = F.broadcast(fingerprints)
-    part = _parts("around", "before", "n")
-    found = rows.join(fingerprints, "hash").filter(part["mid"] == F.col("mid"))
-    found = found.withColumn("back", _same(part["left"], F.col("left"))).withColumn("on", _same(part["right"], F.col("right")))
-    found = found.filter(F.col("short") | (F.col("back") + F.col("on") + k >= window))
-    first = F.when(F.col("short"), F.col("pos")).otherwise(F.col("pos") - F.col("back"))
-    last = F.when(F.col("short"), F.col("pos") + F.size("mid") - 1).otherwise(F.col("pos") + k - 1 + F.col("on"))
-    return found.select("doc_id", "text_hash", first.alias("first"), last.alias("last"), "items")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` -> (id, text_hash, n_words, n_hit, items, contaminated), one row per input row.
-
-    ``items`` are the ids, as strings in their order, of items of which a window occurs in the text.
-    """
-    fingerprints = materialise(item_fingerprints(benchmark, window, k, item_col, text_col), "fingerprints")
-    found = hits(docs, fingerprints, window, k, id_col, text_col, broadcast_rows)
+    hashed = benchmark.select(item, words(F.col(text_col)).alias("ws")).filter(F.size("ws") > 0)
+    kept = _kept(hashed.select(F.size("ws").alias("size"), _probes(F.col("ws"), list(range(1, window)), window, k).alias("probes")), window, k)
+    own = F.col("e").isNotNull() & (F.col("n") == F.least(F.col("size"), F.lit(window)))
+    keys = kept.filter(own).select(F.col("e").alias("key"), "n").distinct()
+    starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - (window - 1), F.lit(1)))
+    windows = hashed.select("item", "ws", F.explode(starts).alias("s")).select("item", F.slice("ws", F.col("s"), F.least(F.size("ws"), F.lit(window))).alias("run"))
+    windows = windows.groupBy("run").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    windows = materialise(windows.select(F.xxhash64("run").alias("window_hash"), "run", F.md5(F.to_json(F.struct("items"))).alias("set_id"), "items"), "windows")
+    sets = windows.groupBy("set_id").agg(F.first("items").alias("items"))
+    return materialise(keys, "keys"), windows.drop("items"), sets
+
+
+def hits(docs: DataFrame, keys: DataFrame, windows: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, text_hash, n_words, first, last, set_id): for each document a row with ``n_words`` and a row for each window found."""
+    lengths = sorted(r[0] for r in keys.filter(F.col("n") < window).select("n").distinct().collect())  # fewer than `window`
     none = F.lit(None)
     text = F.col(text_col)
-    all_docs = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.xxhash64(text).alias("text_hash"),
-        F.coalesce(F.regexp_count(lowered(text), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
-        none.cast("struct<first:int,last:int>").alias("run"),
-        none.cast("array<string>").alias("items"),
-    )
-    marks = found.select("doc_id", "text_hash", none.cast("long").alias("n_words"), F.struct("first", "last").alias("run"), "items")
-    # A row for each document, and its hits: what is grouped is small, and bounded by the document.
-    grouped = all_docs.union(marks).groupBy("doc_id", "text_hash").agg(
-        F.count("n_words").alias("copies"), F.max("n_words").alias("n_words"), F.collect_set("run").alias("runs"), F.collect_set("items").alias("items")
-    )
+    split = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words(text).alias("ws"))
+    rows = _kept(split.select("doc_id", "text_hash", "ws", F.size("ws").alias("n_words"), _probes(F.col("ws"), lengths, window, k).alias("probes")), window, k)
+    # Of the rows without a run one stands for the document itself.
+    rows = rows.filter(F.col("e").isNotNull() | (F.col("n") == window)).withColumnRenamed("n", "kind")
+    small = keys.count() <= broadcast_rows and windows.count() <= broadcast_rows
+    # Both bounds are counted just above; a word list stays in its row until a key is met.
+    near = F.broadcast if small else (lambda df: df)
+    rows = rows.withColumn("low", F.greatest(F.col("at") - (window - k), F.lit(0)))
+    if not small:
+        around = F.slice("ws", F.col("low") + 1, 2 * window - k)
+        rows = rows.withColumn("ws", F.when(F.col("e").isNotNull(), around)).repartition(F.coalesce("e", F.xxhash64("doc_id", "text_hash")))
+    met = rows.join(near(keys), (F.col("e") == F.col("key")) & (F.col("kind") == F.col("n")), "left").filter(F.col("e").isNull() | F.col("n").isNotNull())
+    starts = F.when(F.col("e").isNull(), F.array(none.cast("int"))).when(F.col("n") < window, F.array("at")).otherwise(F.sequence("low", F.least(F.col("at"), F.col("n_words") - window)))
+    met = met.select("doc_id", "text_hash", "n_words", "ws", "low", "n", F.explode_outer(starts).alias("s"))
+    first = F.col("s") + 1 - (F.lit(0) if small else F.col("low"))
+    met = met.select("doc_id", "text_hash", F.when(F.col("s").isNull(), F.col("n_words")).cast("long").alias("n_words"), F.col("s").alias("first"), (F.col("s") + F.col("n") - 1).alias("last"), F.slice("ws", first, F.col("n")).alias("words"))
+    same = (F.xxhash64("words") == F.col("window_hash")) & (F.col("words") == F.col("run"))
+    met = met.join(near(windows), same, "left").filter(F.col("first").isNull() | F.col("window_hash").isNotNull())
+    return met.select("doc_id", "text_hash", "n_words", "first", "last", "set_id")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n_words, n_hit, all_items), a row per document, and (all_items, items), a row per distinct set.
+
+    ``all_items`` is null where nothing is hit.
+    """
+    keys, windows, sets = benchmark_tables(benchmark, window, k, item_col, text_col)
+    found = materialise(hits(docs, keys, windows, window, k, id_col, text_col, broadcast_rows), "hits")
+    marks = found.filter(F.col("first").isNotNull()).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("runs"), F.sort_array(F.collect_set("set_id")).alias("set_ids"))
     covered = F.aggregate(
         F.array_sort("runs"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("end")),
         lambda acc, r: F.struct((acc["n"] + F.greatest(F.lit(0), r["last"] - F.greatest(acc["end"], r["first"] - 1))).cast("long").alias("n"), F.greatest(acc["end"], r["last"]).alias("end")),
         lambda acc: acc["n"],
     )
-    out = grouped.select("doc_id", "text_hash", "n_words", covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return out.select(F.col("doc_id").alias(id_col), "text_hash", "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
+    marks = materialise(marks.select("doc_id", "text_hash", covered.alias("n_hit"), F.md5(F.array_join("set_ids", "")).alias("all_items"), "set_ids"), "marks")
+    spelled = marks.groupBy("all_items").agg(F.first("set_ids").alias("set_ids")).select("all_items", F.explode("set_ids").alias("set_id")).join(sets, "set_id")
+    spelled = spelled.groupBy("all_items").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    whole = found.filter(F.col("first").isNull()).select("doc_id", "text_hash", "n_words")
+    mark = marks.select(F.col("doc_id").alias("marked_id"), F.col("text_hash").alias("marked_hash"), "n_hit", "all_items")
+    same = F.col("doc_id").eqNullSafe(F.col("marked_id")) & (F.col("text_hash") == F.col("marked_hash"))
+    rows = whole.join(mark, same, "left").select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), "all_items")
+    return rows, spelled
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` -> (id, text_hash, n_words, n_hit, items, contaminated), one row per input row.
+
+    ``items`` are the ids, as strings in their order, of items of which a window occurs in the text.
+    """
+    rows, spelled = matches(docs, benchmark, window, k, id_col, text_col, item_col, broadcast_rows)
+    out = rows.join(spelled, "all_items", "left")
+    return out.select(F.col("doc_id").alias(id_col), "text_hash", "n_words", "n_hit", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), (F.col("n_hit") > 0).alias("contaminated"))
