@@ -75,7 +75,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, level: int = 6,
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     large = F.octet_length("payload") >= REVISIT_BYTES
     repeated = materialise(rows.filter(large).groupBy(F.sha1("payload").alias("digest")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n"), "repeated")
-    rows = rows.withColumn("digest", F.when(large, F.sha1("payload"))).join(repeated, "digest", "left")
+    # A small payload never revisits. It gets a key of its own, which meets no digest, so that these don't share a task.
+    own = F.concat(F.lit("-"), F.xxhash64("page_id", "url", "payload").cast("string"))
+    rows = rows.withColumn("digest", F.when(large, F.sha1("payload")).otherwise(own)).join(repeated, "digest", "left")
     rows = rows.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
