@@ -5,11 +5,12 @@ one over documents that the labels call good. A document's score is the mean ove
 log P(trusted) - log P(raw), so length doesn't matter, and the same threshold judges all documents.
 
 The labels are a bounded sample (``max_labels`` rows, in the order of a hash of their ids); they give
-the trusted counts and the threshold: of those that keep ``keep_good`` of the labelled good documents
-that pass the base rules, the one that rejects most of the bad ones (the lowest of equals). Where the
+the trusted counts and the threshold. For the threshold each labelled document is scored by the others
+alone. Of the bounds that keep ``keep_good`` of the labelled good documents that pass the base rules, it is
+the one that rejects most of the bad ones (the lowest of equals). Where the
 labels know only one kind, nothing is rejected beyond the base rules.
 
-Defined cases: a null text has no words and fails; texts shorter than an n-gram score 0; repeated rows
+Defined cases: other columns may have any names; a null text has no words and fails; texts shorter than an n-gram score 0; repeated rows
 and ties get the same verdict; a label without id or quality is ignored, of repeated labels the worst
 counts.
 """
@@ -31,6 +32,7 @@ SYMBOLS = b"#*$%&|<>"
 GRAM = 4
 BUCKETS = 1 << 16
 MAX_LABELS = 20_000
+UNIT = float(1 << 32)
 
 
 def gram_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,14 +97,16 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 @dataclass(frozen=True)
 class QualityModel:
+    """``weights`` are whole numbers of ``1 / UNIT``: their sums are exact, so a score doesn't depend on the batch."""
+
     weights: np.ndarray
     threshold: float
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         buckets, counts = gram_buckets(texts)
-        total = np.concatenate(([0.0], np.cumsum(self.weights[buckets])))
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.weights[buckets])))
         ends = np.cumsum(counts)
-        return np.where(counts > 0, (total[ends] - total[ends - counts]) / np.maximum(counts, 1), 0.0)
+        return np.where(counts > 0, (total[ends] - total[ends - counts]) / (np.maximum(counts, 1) * UNIT), 0.0)
 
 
 def base_failed(n_words: int, n_repeat_words: int) -> bool:
@@ -145,9 +149,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, keep_g
     at = summed.column("bucket").to_numpy()
     raw[at], good[at] = summed.column("raw").to_numpy(), summed.column("good").to_numpy()
     if not good.any():
-        return QualityModel(np.zeros(BUCKETS), float("-inf"))
-    weights = np.log((good + 1) / (good.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
-    model = QualityModel(weights, float("-inf"))
+        return QualityModel(np.zeros(BUCKETS, np.int64), float("-inf"))
+    log_raw = np.log((raw + 1) / (raw.sum() + BUCKETS))
+    weights = np.rint((np.log((good + 1) / (good.sum() + BUCKETS)) - log_raw) * UNIT).astype(np.int64)
+
+    def held_out_score(text: bytes, is_trusted: bool) -> float:
+        """The score of a labelled text by the others alone: what it gave to the trusted counts is taken out."""
+        at, n = np.unique(gram_buckets([text])[0], return_counts=True)
+        if not len(at):
+            return 0.0
+        own, total = (n, n.sum()) if is_trusted else (0, 0)
+        return float((n * (np.log((good[at] - own + 1) / (good.sum() - total + BUCKETS)) - log_raw[at])).sum() / n.sum())
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -155,12 +167,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, keep_g
             base = [base_counts(t) for t in texts]
             ok = [not base_failed(b[0], b[4]) for b in base]
             part = batch.filter(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(_texts(part)), pa.float64())], ["doc_id", "score"])
+            scores = [held_out_score(t, d in trusted) for t, d in zip(_texts(part), part.column("doc_id").to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     ids = docs.sparkSession.createDataFrame([(d,) for d in quality], f"doc_id {labels.schema['doc_id'].dataType.simpleString()}")
     # At most max_labels ids: a broadcast of proven size.
-    judged = rows.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(judge, f"doc_id {kind}, score double").orderBy("score").toArrow()
+    judged = rows.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(judge, f"doc_id {kind}, score double").toArrow()
     scores = judged.column("score").to_numpy()
     is_good = np.array([quality[d] for d in judged.column("doc_id").to_pylist()], bool)
     return QualityModel(weights, choose_threshold(scores, is_good, keep_good))
