@@ -9,10 +9,11 @@ Documents with equal fingerprints are one node from the start, so copies cost no
 only a spanning forest of the links is kept, by a search that compares each fingerprint with those not
 reached yet. An entry of more than ``CROWD`` fingerprints is dealt out again, to tasks of their own: of
 the eight hex digits of the other half three at most differ, so each set of five is a key. What shares
-one has 12 free bits left, which bounds such a group whatever the data, and no link is lost. Components of the forest are found by star contraction.
+one has 12 free bits left, which bounds such a group whatever the data, and no link is lost. Components
+of the forest are found by star contraction.
 
 Defined cases: a null text, or one without words, has the fingerprint zero and is linked like any
-other; one or two words are one shingle; repeated rows share a component; a null id never names one.
+other; one or two words are one shingle; other columns may have any names; repeated rows share a component; a null id never names one.
 """
 
 from __future__ import annotations
@@ -209,9 +210,22 @@ def fingerprint_table(docs: DataFrame, width: int = 3, id_col: str = "doc_id", t
 def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` -> (id, fingerprint, component_id), one row per input row."""
     prints = materialise(fingerprint_table(docs, width, id_col, text_col), "prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     member = materialise(star_components(links(nodes.select("fp"))), "members").withColumnRenamed("node", "fp")
     least = member.join(nodes, "fp").groupBy("root").agg(F.min("first").alias("least"))
     named = member.join(least, "root").select("fp", "least")
-    component = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(component, "fp", "left").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    component = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "n")
+    return to_rows(prints, component, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def to_rows(rows: DataFrame, keyed: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """``rows`` with the columns of ``keyed``, which has a row for each of their keys and in ``n`` how many rows have it.
+
+    The keys of more than one row in ``most`` are fewer than ``most``, so they are broadcast; the rows of
+    all others are dealt out by the key, and no task gets many of one.
+    """
+    keyed = materialise(keyed, "keyed")
+    total = keyed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(keyed.filter(F.col("n") * most > total).drop("n"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.filter(F.col("n") * most <= total).drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)
