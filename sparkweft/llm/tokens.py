@@ -2,18 +2,18 @@
 
 Every text is escaped as the library does (a dummy prefix, spaces as U+2581) and cut into
 pre-tokens where no piece of the vocabulary can reach across. The distinct new pre-tokens of a
-batch become one ragged array of symbol ids. In each round every sequence merges its lowest-rank
-pair (the leftmost of equals) at the same time; sequences without a pair leave. The symbols that
-survive are counted, a symbol outside the vocabulary as its UTF-8 bytes.
-
-Defined cases: a null or empty text has no bytes and no tokens; repeated rows are counted each;
-pre-tokens of more than ``LONG`` symbols take the same merges from a heap, in O(n log n), so one
-endless word doesn't hold up its batch.
+batch become ragged arrays of symbol ids. In each round every sequence merges its lowest-rank pair at
+the same time, wherever it has it, as far as merging one after the other from the left would do the
+same; sequences without a pair leave. The symbols that survive are counted, a symbol outside the
+vocabulary as its UTF-8 bytes. A sequence takes about as many rounds as it has ranks, so its length
+needs no other method.
+
+Defined cases: a null or empty text has no bytes and no tokens; repeated rows are counted each; an
+endless word is a sequence like any other; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import steps
 
 SPACE = "▁"
-LONG = 400
+#: Symbols that are merged together, about, and the length up to which a pre-token's count is remembered.
+MERGED, KEPT = 400_000, 400
 #: Counts of pre-tokens that a worker remembers; beyond it, the memory starts anew.
 REMEMBERED = 400_000
 NONE = np.int64(1) << 40
@@ -68,7 +69,12 @@ class PieceBpe:
         self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
         self.merged = np.append(np.array(merged, np.int64)[order], -1)
         self.ranks = np.append(np.array(ranks, np.int64)[order], NONE)
-        self.pairs = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys[:-1], self.ranks, self.merged)}
+        # Symbols that make a pair of no higher rank than their own.
+        own, lowest = np.full(self.base, -1), np.full(self.base, NONE)
+        own[self.merged[:-1]] = self.ranks[:-1]
+        for side in (self.keys[:-1] // self.base, self.keys[:-1] % self.base):
+            np.minimum.at(lowest, side, self.ranks[:-1])
+        self.risky = lowest <= own
         self.ids = np.full(0x110000, self.unknown, np.int32)
         for piece, i in pieces.items():
             if len(piece) == 1:
@@ -97,6 +103,30 @@ class PieceBpe:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, at, len(self.keys) - 1)
 
+    def _at_once(self, sym: np.ndarray, owner: np.ndarray, pair: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the places of each sequence's lowest rank, from the left, those that merge in this round.
+
+        Of overlapping ones every second does. A merge whose symbol makes a pair of no higher rank with
+        what stands beside it is the last of its sequence: that pair has to come before those further right.
+        """
+        start = np.maximum.accumulate(np.where(np.r_[True, at[1:] != at[:-1] + 1], np.arange(len(at)), 0))
+        at = at[(np.arange(len(at)) - start) % 2 == 0]
+        made = self.merged[pair[at]]
+        risky = np.flatnonzero(self.risky[made])
+        if not len(risky):
+            return at
+        p, m, bound = at[risky], made[risky], self.ranks[pair[at[risky]]]
+        joined = np.r_[False, at[1:] == at[:-1] + 2][risky]
+        left = np.where(joined, made[np.maximum(risky - 1, 0)], sym[np.maximum(p - 1, 0)])
+        has_left = (p > 0) & (owner[np.maximum(p - 1, 0)] == owner[p])
+        behind = np.minimum(p + 2, len(sym) - 1)
+        has_right = (p + 2 < len(sym)) & (owner[behind] == owner[p])
+        stop = np.zeros(len(at), np.int64)
+        stop[risky] = (has_left & (self.ranks[self._pair(left, m)] <= bound)) | (has_right & (self.ranks[self._pair(m, sym[behind])] <= bound))
+        stopped = np.cumsum(stop) - stop
+        new = np.r_[True, owner[at[1:]] != owner[at[:-1]]]
+        return at[stopped == stopped[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]]
+
     def merge_all(self, words: list[str]) -> np.ndarray:
         """Token counts of the pre-tokens, which are not empty."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -122,14 +152,14 @@ class PieceBpe:
         while len(sym):
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             size = np.diff(np.append(first, len(sym)))
-            key = self.ranks[pair] * len(sym) + np.arange(len(sym))
-            best = np.minimum.reduceat(key, first)
-            live = best < NONE * len(sym)
+            rank = self.ranks[pair]
+            least = np.minimum.reduceat(rank, first)
+            live = least < NONE
             if not live.any():
                 break
-            at = best[live] % len(sym)
+            at = self._at_once(sym, owner, pair, np.flatnonzero((rank == np.repeat(least, size)) & (rank < NONE)))
             sym[at] = self.merged[pair[at]]
-            counts[owner[at]] -= 1
+            counts -= np.bincount(owner[at], minlength=len(counts))
             keep = np.repeat(live, size)
             keep[at + 1] = False
             moved = np.cumsum(keep) - 1
@@ -140,48 +170,24 @@ class PieceBpe:
             pair[touched] = pairs_at(touched)
         return counts + extra
 
-    def merge_long(self, word: str) -> int:
-        """The same merges for one long pre-token, from a heap of (rank, place)."""
-        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
-        sym = self.ids[points].tolist()
-        n = len(sym)
-        total = n + sum(len(c.encode("utf-8", "surrogatepass")) - 1 for c, s in zip(word, sym) if s == self.unknown)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        get, base = self.pairs.get, self.base
-        heap = [(p[0], i, sym[i], sym[i + 1]) for i in range(n - 1) if (p := get(sym[i] * base + sym[i + 1]))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != left or j >= n or sym[j] != right:
-                continue
-            sym[i], sym[j] = get(left * base + right)[1], -1
-            total -= 1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if p := get(sym[i] * base + sym[k]):
-                    heapq.heappush(heap, (p[0], i, sym[i], sym[k]))
-            if (h := before[i]) >= 0 and (p := get(sym[h] * base + sym[i])):
-                heapq.heappush(heap, (p[0], h, sym[h], sym[i]))
-        return total
-
     def count(self, texts: list[str | None]) -> list[int]:
         cut = [self.split.findall(SPACE + t.replace(" ", SPACE)) if t else () for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
         new = [w for w in set().union(*cut) if w not in known]
-        short = [w for w in new if len(w) <= LONG]
-        for start in range(0, len(short), 50_000):
-            part = short[start : start + 50_000]
-            known.update(zip(part, self.merge_all(part).tolist()))
-        for w in new:
-            if len(w) > LONG:
-                known[w] = self.merge_long(w)
+        # A long pre-token is remembered for its batch alone, and so is not kept from memory.
+        new.sort(key=len)
+        start, held = 0, 0
+        for end in range(1, len(new) + 1):
+            held += len(new[end - 1])
+            if held >= MERGED or end == len(new):
+                part = new[start:end]
+                known.update(zip(part, self.merge_all(part).tolist()))
+                start, held = end, 0
         out = [sum(map(known.__getitem__, words)) for words in cut]
         for w in new:
-            if len(w) > LONG:
+            if len(w) > KEPT:
                 del known[w]
         return out
 
