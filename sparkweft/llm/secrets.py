@@ -1,15 +1,16 @@
 """Secret scan: candidates by shape, judged by a random forest, in DataFrame operations alone.
 
-A text is cut into runs of key characters, white space, and other characters. A run of at least
-``LEAST`` characters with a digit is a candidate. Its features are its length, the mix and transitions
-of its characters, how much of it dictionary words cover, words in its path, and the neighbouring words.
-The forest is grown on labelled findings (a bounded list, by default the generated one below), whose
-features come from the same expressions, and becomes a tree of conditions. All of a document is judged
+A text is cut into values that are assigned to a name like that of a credential or stand as a password
+in a URL, runs of key characters, white space, and other characters. Such a value of any characters and
+four of them or more, and every run of at least ``LEAST``, is a candidate. Its features are its length, the
+mix and transitions of its characters, how much of it dictionary words cover, words in its path, and the
+neighbouring words. The forest is grown on labelled findings (a bounded list, by default the generated one
+below), whose features come from the same expressions, and becomes a tree of conditions. All of a document is judged
 and redacted within its row: nothing is shuffled or grouped, and one pass is linear in the text.
 
 Defined cases: a null text has no candidates and stays null; a null path says nothing; long texts and
 repeated rows need no special care; each candidate is judged by itself, equal ones with equal neighbours
-alike; a score of exactly the threshold is a secret.
+alike; a score of exactly the threshold is a secret; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,13 @@ from .forest import Tree, forest_column, grow_forest
 
 LEAST = 16
 RUN = "[A-Za-z0-9_+/-]"
-PARTS = rf"{RUN}+={{0,2}}|[\x20\x09-\x0D]+|[^A-Za-z0-9_+/\x20\x09-\x0D-]+"
+NAME = r"(?:tokens?|secrets?|passw(?:or)?d|passphrase|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|signing[_-]?key|secret[_-]?key|auth|credentials?)"
+ASSIGN = r"[\"'`]?[\x20\x09]{0,2}(?:=>|[=:])[\x20\x09]{0,2}[\"'`]?"
+SIGN = r"\x20\x09-\x0D\"'`,;<>(){}\[\]"
+NAMED = rf"(?<=(?i:{NAME}){ASSIGN})[^{SIGN}=:][^{SIGN}]{{3,}}"
+USER = r"://[^\x20\x09-\x0D/:@]{1,40}:"
+IN_URL = rf"(?<={USER})[^\x20\x09-\x0D/@:]{{4,}}(?=@)"
+PARTS = rf"{NAMED}|{IN_URL}|{RUN}+={{0,2}}|[\x20\x09-\x0D]+|(?:(?!{NAMED}|{IN_URL})[^A-Za-z0-9_+/\x20\x09-\x0D-])+"
 MASK = "[SECRET]"
 THRESHOLD = 0.5
 #: Labelled findings that training uses at most.
@@ -37,7 +44,7 @@ _BIGRAMS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt
 NEAR_KEY = r"token|secret|passw|pwd|api.?key|apikey|auth|bearer|credential|private.?key|access.?key|client.?key|signing|encrypt|webhook"
 NEAR_OTHER = r"sha-?1|sha-?256|sha-?512|md5|commit|checksum|digest|hash|uuid|guid|revision|integrity|etag|version|isbn|order|invoice|placeholder|dummy|image|png|jpe?g|https?:|call|card|serial|trace|request|blob|tree|parent"
 NEAR_SAMPLE = r"example|sample|test|mock|fixture|dummy|placeholder|redacted|xxxx|your[_-]|changeme|lorem"
-FEATURES = ("length", "digits", "upper", "lower", "marks", "switches", "bigrams", "covered", "hex", "distinct", "known_form", "assigned", "quoted", "near_key", "near_other", "near_sample", "path_sample", "path_config")
+FEATURES = ("length", "digits", "upper", "lower", "marks", "switches", "bigrams", "covered", "hex", "distinct", "known_form", "assigned", "quoted", "near_key", "near_other", "near_sample", "path_sample", "path_config", "named", "in_url", "others")
 
 
 @functools.cache
@@ -57,12 +64,26 @@ def labelled_findings(n: int = 3_000, seed: int = 11) -> list[tuple[str, str, in
             x = make()
         return x
 
+    def password() -> str:
+        """As people choose them: words, digits and signs, or short random strings."""
+        if r.random() < 0.3:
+            x = chars(alnum + "!@#$%^&*?._-", r.randint(8, 15))
+        else:
+            x = "".join(r.choice((str.title, str.lower))(r.choice(_WORDS)) for _ in range(r.randint(1, 3))) + r.choice(("", *"!@#$*?._-")) + str(r.randint(1, 9999)) + r.choice(("", "", *"!@#$*?"))
+            for a, b in ("a@", "o0", "e3", "i1", "s$"):
+                x = x.replace(a, b) if r.random() < 0.25 else x
+        return x if len(x) >= 6 else password()
+
     say = lambda k: " ".join(r.choice(_WORDS) if r.random() < 0.5 else chars(low, r.randint(2, 9)) for _ in range(k))
     keys = [
         lambda: chars(hexa, r.choice((32, 40, 40, 48, 64))), lambda: chars(alnum, r.randint(20, 64)), lambda: chars(b64, r.randint(30, 86)) + r.choice(("", "=", "==")),
         lambda: "AKIA" + chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: r.choice(("ghp_", "gho_", "ghs_")) + chars(alnum, 36), lambda: "xoxb-" + chars("0123456789", 12) + "-" + chars(alnum, 24),
         lambda: r.choice(("sk_live_", "rk_live_")) + chars(alnum, 24), lambda: "AIza" + chars(alnum + "-_", 35), lambda: "glpat-" + chars(alnum, 20), lambda: "eyJ" + chars(alnum, r.randint(40, 90)),
+        lambda: chars(alnum[:52], r.randint(16, 44)), lambda: chars(low, r.randint(20, 40)),
     ]
+    own = ["password", "passwd", "pwd", "secret", "db_password", "PASSWORD", "token", "admin_pwd", "auth", "passphrase"]
+    set_to = [' = "{}"', " = '{}'", ": {}", '="{}"', "={}", ': "{}"', ' => "{}"', " = {}"]
+    plain = ["required", "None", "null", "true", "false", "string", "invalid", "expired", "missing", "optional", "undefined", "getpass()", "os.environ", "config.secret", "self.token", "user.password", "process.env.TOKEN", "${PASSWORD}", "%(password)s", "{{token}}", "$TOKEN", "********", "xxxxxx", "<password>", "changeme", "your-password", "example", "test", "forgotten", "request.args", "args.token", "str(token)", "hidden", "bearer", "basic", "input", "text/plain"]
     names = ["token", "secret", "password", "passwd", "api_key", "apikey", "API-KEY", "auth_token", "access_key", "client_secret", "private_key", "Authorization: Bearer", "credential", "signing_key", "webhook secret", "TOKEN", "SECRET_KEY"]
     joins = [' = "{}"', " = '{}'", ": {}", '="{}"', "={}", ': "{}"', " {}", ' => "{}"', " is {}"]
     mistakes = [
@@ -78,13 +99,23 @@ def labelled_findings(n: int = 3_000, seed: int = 11) -> list[tuple[str, str, in
     out = []
     for k in range(n):
         if k % 2:
-            body = r.choice(names) + r.choice(joins).format(digit(r.choice(keys)))
-            if r.random() < 0.1:  # some forms tell by themselves
+            kind = r.random()
+            if kind < 0.1:  # some forms tell by themselves
                 body = say(1) + " " + digit(r.choice(keys[3:9]))
+            elif kind < 0.35:
+                body = r.choice(own) + r.choice(set_to).format(password())
+            elif kind < 0.4:
+                body = f"{r.choice(('postgres', 'mysql', 'https', 'redis', 'amqp'))}://{r.choice(('admin', 'root', 'user', r.choice(_WORDS)))}:{password().replace('@', '').replace('?', '')}@{r.choice(_WORDS)}.host:{r.randint(80, 9999)}/{r.choice(_WORDS)}"
+            else:
+                body = r.choice(names) + r.choice(joins).format(r.choice(keys)())
             path = r.choice(paths).format(r.randint(0, 30))
         else:
             body = r.choice(mistakes)()
             path = r.choice([*paths, *paths, "tests/test_auth{}.py", "examples/demo{}.md"]).format(r.randint(0, 30))
+            if r.random() < 0.25:
+                body = r.choice(own) + r.choice(set_to).format(r.choice((r.choice(plain), r.choice(plain), r.choice(_WORDS), r.choice(_WORDS) + "_" + r.choice(_WORDS), r.choice(_WORDS) + "." + r.choice(_WORDS), chars(low, r.randint(4, 9)))))
+            elif r.random() < 0.15:  # long, but made of words, or said and not assigned
+                body = say(1) + " " + r.choice(("/", "_", "-", "")).join(r.choice(_WORDS) if r.random() < 0.7 else chars("aeiou", 1) + chars(low, 2) + "er" for _ in range(r.randint(4, 6)))
             if r.random() < 0.08:  # a key in a test's fixtures
                 body, path = r.choice(names) + r.choice(joins).format(digit(r.choice(keys[:3]))), r.choice(("tests/fixtures/mock{}.json", "spec/sample_example{}.rb")).format(r.randint(0, 30))
         out.append((path, f"{say(r.randint(0, 6))} {body} {say(r.randint(0, 6))}", k % 2))
@@ -121,11 +152,20 @@ def _features(c: Column, left: Column, right: Column, path: Column) -> Column:
         flag(F.concat(near, small).rlike(NEAR_SAMPLE)),
         flag(F.lower(path).rlike("test|example|mock|spec|fixture|sample|demo")),
         flag(F.lower(path).rlike(r"config|settings|deploy|prod|\.env")),
+        flag(left.rlike(f"(?i:{NAME}){ASSIGN}$")),
+        flag(left.rlike(f"{USER}$")),
+        (n - F.regexp_count(c, F.lit("[A-Za-z0-9_+/=-]"))) / n,
     )
 
 
-def _candidate(part: Column) -> Column:
-    return (F.length(part) >= LEAST) & part.rlike(f"^{RUN}*[0-9]")
+def _candidate(part: Column, parts: Column, i: Column) -> Column:
+    """Whether the part numbered ``i`` is judged."""
+    run = part.rlike(f"^{RUN}{{{LEAST},}}={{0,2}}$")
+    # A value stands behind a sign, and white space at most; a name and its sign are six parts at most.
+    behind_sign = F.concat(F.coalesce(F.get(parts, i - 2), F.lit("")), F.coalesce(F.get(parts, i - 1), F.lit(""))).rlike(r"[=:>\"'`][\x20\x09]*$")
+    n = F.least(i, F.lit(6))
+    named = F.array_join(F.slice(parts, i - n + 1, n), "").rlike(f"(?i:{NAME}){ASSIGN}$|{USER}$")
+    return run | ((F.length(part) >= 4) & behind_sign & part.rlike(r"^[^\x20\x09-\x0D]*[A-Za-z0-9]") & named)
 
 
 def _around(parts: Column, i: Column) -> tuple[Column, Column]:
@@ -149,11 +189,12 @@ def scan(docs: DataFrame, forest: list[Tree], threshold: float = THRESHOLD, id_c
 
     def of(parts: Column) -> Column:
         def part(p: Column, i: Column) -> Column:
-            return F.struct(p.alias("p"), F.when(_candidate(p), judged(parts, p, i)).alias("score"), i.alias("i"))
+            return F.struct(p.alias("p"), F.when(_candidate(p, parts, i), judged(parts, p, i)).alias("score"), i.alias("i"))
 
         return F.transform(parts, part)
 
-    worth = F.coalesce(text.rlike("[0-9]") & text.rlike(f"{RUN}{{{LEAST - 2}}}"), F.lit(False))
+    # Other texts have no candidate.
+    worth = F.coalesce(text.rlike(f"{RUN}{{{LEAST}}}") | text.rlike(f"(?i:{NAME}){ASSIGN}[^\\x20\\x09-\\x0D]|{USER}[^\\x20\\x09-\\x0D/@:]{{4,}}@"), F.lit(False))
     done = F.when(worth, _let(F.regexp_extract_all(text, F.lit(PARTS), F.lit(0)), of))
     rows = docs.select(F.col(id_col), *[F.col(c) for c in keep], _let(
         F.struct(text.alias("text"), done.alias("done")),
@@ -179,7 +220,7 @@ def finding_features(findings: DataFrame) -> DataFrame:
             left, right = _around(ps, x["i"])
             return _features(x["p"], left, right, F.col("path"))
 
-        return F.get(F.transform(F.slice(F.filter(rows, lambda x: _candidate(x["p"])), 1, 1), features), F.lit(0))
+        return F.get(F.transform(F.slice(F.filter(rows, lambda x: _candidate(x["p"], ps, x["i"])), 1, 1), features), F.lit(0))
 
     return findings.select(_let(parts, of).alias("features"), "label").filter(F.col("features").isNotNull())
 
