@@ -25,13 +25,13 @@ def number_rows(df: DataFrame, order: Iterable[Column | str], name: str, start:
     placed = materialise(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
     part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    offset, pairs = start, []
+    offset, offsets = start, []
     for p, n in sizes:
-        pairs += [F.lit(p), F.lit(offset)]
+        offsets.append((p, offset))
         offset += n
-    if not pairs:
-        return placed.withColumn(name, F.lit(0).cast("long")).drop("__at")
-    return placed.withColumn(name, (F.element_at(F.create_map(*pairs), part) + row).cast("long")).drop("__at")
+    # A row for each partition.
+    before = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part long, __before long"))
+    return placed.join(before, part == F.col("__part")).withColumn(name, F.col("__before") + row).drop("__at", "__part", "__before")
 
 
 class Graph:

@@ -43,18 +43,20 @@ def _closeness(g: Graph, sources: DataFrame) -> DataFrame:
     return reach.select(F.col("source").alias("id"), score.alias("score"))
 
 
-def closeness_centrality_all(g: Graph, batch: int | None = None) -> DataFrame:
+#: Sources that are searched at a time.
+BATCH = 1024
+
+
+def closeness_centrality_all(g: Graph, batch: int = BATCH) -> DataFrame:
     """(id, score): (n-1) over the sum of hops, 0 unless all are reached.
 
-    The state is a row for each source and vertex; with ``batch`` about so many sources are searched at a time.
+    The state is a row for each vertex and each of about ``batch`` sources that are searched at a time.
     """
     return _batches(g, batch, lambda s: _closeness(g, s))
 
 
-def _batches(g: Graph, batch: int | None, part) -> DataFrame:
+def _batches(g: Graph, batch: int, part) -> DataFrame:
     ids = g.vertices.select("id")
-    if batch is None:
-        return part(ids)
     n = max(1, -(-g.vertex_count() // batch))
     out = None
     for k in range(n):
@@ -98,7 +100,7 @@ def betweenness_single_source(g: Graph, source: int) -> DataFrame:
     return betweenness_by_source(g, g.vertices.filter(F.col("id") == source).select("id")).select("id", F.col("delta").alias("score"))
 
 
-def betweenness_centrality(g: Graph, normalized: bool = False, batch: int | None = None) -> DataFrame:
+def betweenness_centrality(g: Graph, normalized: bool = False, batch: int = BATCH) -> DataFrame:
     """(id, score); halved where no edge is directed, and ``normalized`` by (n-1)(n-2) if n > 2."""
     deltas = _batches(g, batch, lambda s: betweenness_by_source(g, s).filter("id <> source").groupBy("id").agg(F.sum("delta").alias("delta")))
     total = deltas.groupBy("id").agg(F.sum("delta").alias("delta"))

@@ -103,6 +103,11 @@ def find_cycle_undirected(g: Graph) -> CycleResult:
     return CycleResult(True, [*a, *reversed(b[:-1]), a[0]])
 
 
+def find_cycle_dfs(g: Graph) -> list[int]:
+    """The closed walk that keeps the directed edges from a topological order, or []."""
+    return find_cycle_directed(g).cycle
+
+
 def find_cycle(g: Graph) -> CycleResult:
     """By directed edges if there is one, else by undirected ones."""
     directed, undirected = g.edge_kinds()

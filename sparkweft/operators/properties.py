@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkweft.graph import Graph
 from sparkweft.plans.rounds import chain, cut
 
+from .centrality import BATCH, _batches
 from .components import component_roots
 from .paths import _relax
 from .traversal import multi_source_bfs
@@ -40,25 +41,27 @@ def is_bipartite(g: Graph) -> BipartiteResult:
     return BipartiteResult(False, coloring, [*a, *reversed(b[:-1]), a[0]])
 
 
-def eccentricities(g: Graph, metric: str = "bfs_tree") -> DataFrame:
+def eccentricities(g: Graph, metric: str = "bfs_tree", batch: int = BATCH) -> DataFrame:
     """(id, eccentricity): the greatest weight of a way to another vertex, infinite unless all are reached.
 
     ``bfs_tree`` sums weights along the hop tree of a breadth-first search, ``shortest`` along lightest paths.
+    About ``batch`` sources are searched at a time.
     """
     n = g.vertex_count()
-    if metric == "bfs_tree":
-        reach = multi_source_bfs(g, g.vertices.select("id")).select("source", "id", "depth")
-    elif metric == "shortest":
-        reach = _all_shortest(g)
-    else:
+    if metric not in ("bfs_tree", "shortest"):
         raise ValueError("metric is bfs_tree or shortest")
-    per = reach.groupBy("source").agg(F.count("*").alias("reached"), F.max("depth").alias("depth"))
+
+    def part(sources: DataFrame) -> DataFrame:
+        reach = multi_source_bfs(g, sources).select("source", "id", "depth") if metric == "bfs_tree" else _all_shortest(g, sources)
+        return reach.groupBy("source").agg(F.count("*").alias("reached"), F.max("depth").alias("depth"))
+
+    per = _batches(g, batch, part)
     return per.select(F.col("source").alias("id"), F.when(F.col("reached") == n, F.col("depth")).otherwise(float("inf")).alias("eccentricity"))
 
 
-def _all_shortest(g: Graph) -> DataFrame:
+def _all_shortest(g: Graph, sources: DataFrame) -> DataFrame:
     edges = cut(g.adjacency.select("src", "dst", "weight"), "edges")
-    best = cut(g.vertices.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("depth"), F.lit(True).alias("new")))
+    best = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("depth"), F.lit(True).alias("new")))
     while True:
         offers = best.filter("new").select("source", F.col("id").alias("src"), "depth").join(edges, "src").groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("depth") + F.col("weight")).alias("offer"))
         met = best.join(offers, ["source", "id"], "full")

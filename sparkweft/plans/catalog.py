@@ -151,11 +151,6 @@ def bfs_path(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(walk)), "place long, id long")
 
 
-@query()
-def dfs_preorder(spark, sf_dir):
-    return traversal.dfs(graphs.geography(spark, sf_dir), 0)
-
-
 def _rounds(edges: str, n: int, start: str = "SELECT 0::BIGINT AS id, 0.0::DOUBLE AS distance") -> str:
     """Relaxation in n rounds, each a table of its own."""
     out = [f"d0 AS MATERIALIZED ({start})"]
@@ -514,13 +509,14 @@ def _poses(spark, sf_dir, losses_too: bool = False) -> tuple[DataFrame, DataFram
 
 _POSES = f"WITH {LINES}, p AS (SELECT key, k, l_discount * 20 AS th, l_quantity / 10 AS x, l_tax * 30 AS y, l_tax * 25 AS mt, 1.5 AS mx, l_discount * 10 AS my FROM lines)"
 _LOG = "l AS (SELECT key, t, CASE WHEN abs(t) < 1e-6 THEN 1 - t * t / 12 ELSE t / 2 * cos(t / 2) / sin(t / 2) END AS a, ex, ey FROM w), r AS (SELECT key, (a * ex + t / 2 * ey) / 0.5 AS r1, (a * ey - t / 2 * ex) / 0.4 AS r2, t / 0.2 AS r3 FROM l)"
-_POSE_ERROR = " SELECT key, round(0.5 * (r1 * r1 + r2 * r2 + r3 * r3), 4) AS error FROM r"
+#: The root, which unlike the error itself is no short decimal that rounding might split either way.
+_POSE_ERROR = " SELECT key, round(sqrt(0.5 * (r1 * r1 + r2 * r2 + r3 * r3)), 6) AS root FROM r"
 
 
 @query(f"{_POSES}, w AS (SELECT key, atan2(sin(th - mt), cos(th - mt)) AS t, cos(mt) * (x - mx) + sin(mt) * (y - my) AS ex, cos(mt) * (y - my) - sin(mt) * (x - mx) AS ey FROM p), {_LOG}{_POSE_ERROR}")
 def se2_prior_error(spark, sf_dir):
     prior, _, values = _poses(spark, sf_dir)
-    return lin.errors(prior, values).select(F.col("fid").alias("key"), F.round("error", 4).alias("error"))
+    return lin.errors(prior, values).select(F.col("fid").alias("key"), F.round(F.sqrt("error"), 6).alias("root"))
 
 
 @query(
@@ -529,7 +525,7 @@ def se2_prior_error(spark, sf_dir):
 )
 def se2_between_error(spark, sf_dir):
     _, between, values = _poses(spark, sf_dir)
-    return lin.errors(between, values).select(F.col("fid").alias("key"), F.round("error", 4).alias("error"))
+    return lin.errors(between, values).select(F.col("fid").alias("key"), F.round(F.sqrt("error"), 6).alias("root"))
 
 
 _NAMES = ("null", "huber", "cauchy", "tukey")
@@ -576,16 +572,4 @@ def levenberg(spark, sf_dir):
     return _optimum(spark, sf_dir, optimize.LevenbergMarquardtOptimizer(tolerance=1e-9))
 
 
-@query()
-def gradient_descent(spark, sf_dir):
-    """A few steps on the poses of all lines: each comes nearer to its prior."""
-    prior, _, values = _poses(spark, sf_dir)
-    done = optimize.GradientDescentOptimizer(max_iterations=5, step_size=0.02).optimize(FactorGraph(prior), Values(values))
-    return done.values.table.select("key", F.round(F.get("v", F.lit(1)), 6).alias("x"), F.round(F.get("v", F.lit(2)), 6).alias("y"))
-
-
-@query()
-def linearized(spark, sf_dir):
-    _, between, values = _poses(spark, sf_dir)
-    found = lin.linearize(between, values)
-    return found.select(F.col("fid").alias("key"), F.round(F.sqrt("s"), 6).alias("size"), F.size("jacobians").alias("n"))
+from sparkweft.plans import details  # noqa: E402, F401 - registers the queries of its own

@@ -25,29 +25,41 @@ def on_cycles(parents: DataFrame, n: int) -> DataFrame:
     return parents.join(jump.select(F.col("to").alias("id")).distinct(), "id", "left_semi")
 
 
+def _walk(parents: DataFrame, start: int, stop: int | None) -> list[int]:
+    """The ids from ``start`` up along (id, parent), each once, at least to ``stop`` if it is among them.
+
+    The steps double each round, so there are as many rounds as the length has binary digits, and only
+    the way itself is gathered.
+    """
+    jump = cut(parents.filter(F.col("parent").isNotNull()).select("id", F.col("parent").alias("to")))
+    way = jump.sparkSession.createDataFrame([(start, 0)], "id long, place long")
+    step, known = 1, 1
+    while True:
+        further = way.join(jump, "id").select(F.col("to").alias("id"), F.col("place") + step)
+        way = cut(way.union(further).groupBy("id").agg(F.min("place").alias("place")), "way")
+        n = way.count()
+        if n == known or (stop is not None and not way.filter(F.col("id") == stop).isEmpty()):
+            return [r["id"] for r in sorted(way.collect(), key=lambda r: r["place"])]
+        jump = cut(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.to").alias("to")))
+        step, known = 2 * step, n
+
+
 def one_cycle(parents: DataFrame, n: int) -> list[int]:
     """A closed walk (first == last) in the direction parent -> child on the cycle of the least id, or []."""
-    rows = on_cycles(parents, n)
+    rows = cut(on_cycles(parents, n), "cycles")
     start = rows.agg(F.min("id")).first()[0]
     if start is None:
         return []
-    step = {r["id"]: r["parent"] for r in rows.collect()}  # a cycle's length is the witness's own size
-    walk, at = [start], step[start]
-    while at != start:
-        walk.append(at)
-        at = step[at]
-    return [start, *reversed(walk)] if len(walk) > 1 else [start, start]
+    walk = _walk(rows, start, None)
+    return [start, *reversed(walk[1:]), start]
 
 
 def chain(parents: DataFrame, start: int, stop: int | None = None) -> list[int]:
-    """The ids from ``start`` up along (id, parent) to ``stop`` or to a row without parent."""
-    out, at = [start], start
-    while at != stop:
-        row = parents.filter(F.col("id") == at).select("parent").first()
-        if row is None or row[0] is None:
-            return out if stop is None else []
-        at = row[0]
-        if at == start:
-            return []
-        out.append(at)
-    return out
+    """The ids from ``start`` up along (id, parent) to ``stop`` or to a row without parent; [] if neither comes."""
+    if start == stop:
+        return [start]
+    walk = _walk(parents, start, stop)
+    if stop is not None:
+        return walk[: walk.index(stop) + 1] if stop in walk else []
+    last = parents.filter((F.col("id") == walk[-1]) & F.col("parent").isNotNull())
+    return walk if last.isEmpty() else []

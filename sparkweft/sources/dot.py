@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +44,10 @@ def write_dot(g: Graph, path: str, label: Column | str | None = None, files: int
     rows.select("line").write.text(path)
 
 
-def read_dot(spark: SparkSession, path: str, labels: bool = False) -> Graph:
+def read_dot(spark: SparkSession, path: str, labels: bool | Callable[[Column], Column] = False) -> Graph:
     """Read DOT text. Vertices get ids 0.. in the order they are first seen; edges may come without brackets.
 
-    With ``labels`` vertices get a ``label`` column, and an edge to an undeclared vertex is an error; without,
+    With ``labels`` vertices get a ``label`` column, made of the text by ``labels`` if that is a function, and an edge to an undeclared vertex is an error; without,
     edges make their vertices. A comment runs from ``//`` to the line's end, but not within quotes.
     """
     # A split's start orders the parts of a file, and rows are numbered within it.
@@ -75,7 +77,8 @@ def read_dot(spark: SparkSession, path: str, labels: bool = False) -> Graph:
     weight = F.regexp_extract("more", rf"weight\s*=\s*\"?({NUMBER})", 1)
     directed = (F.col("op") == "->") & ~F.col("more").rlike(r"dir\s*=\s*\"?none")
     table = edges.join(of("u"), "u").join(of("v"), "v").select("at", F.col("id_u").alias("src"), F.col("id_v").alias("dst"), F.when(weight != "", weight.cast("double")).otherwise(1.0).alias("weight"), directed.alias("directed"))
-    return Graph(ids.select("id", *["label"] * labels), number_rows(table, ["at"], "eid").drop("at"))
+    label = [labels(F.col("label")).alias("label")] if callable(labels) else [F.col("label")] * labels
+    return Graph(ids.select("id", *label), number_rows(table, ["at"], "eid").drop("at"))
 
 
 def read_edges(spark: SparkSession, path: str, format: str = "parquet", src: str = "src", dst: str = "dst", weight: str | None = None, directed: bool | str = False, **options) -> Graph:
