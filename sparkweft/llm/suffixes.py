@@ -5,23 +5,25 @@ All windows of that length are dealt out by their minimiser, the least hash of t
 in them: equal windows have equal minimisers, so what has one minimiser can be judged by itself, and
 consecutive windows with one minimiser travel as one string.
 
-1. Each document's distinct minimisers, five bytes each, go to buckets, which report those that a second
-   document has too. Nothing else of the text can repeat.
-2. Of these alone the strings are gathered. In a task, and again in a bucket, equal strings are one: all
-   but those of the least document are removed there and then.
-3. Among the different strings of a bucket, the windows are put in suffix order up to ``LENGTH`` bytes.
-   Where neighbours share all of them, an earlier document to either side (a previous or next smaller
-   one) makes the longest previous factor reach ``LENGTH``, and the window is removed.
+1. A task tells buckets its documents' distinct minimisers, five bytes each. One that several of its own
+   documents have is known to repeat, and is told once; of the others the buckets report those that other
+   tasks have too. Nothing else of the text can repeat.
+2. Of these alone the strings are gathered, equal ones in a task as one, which is what the task combines
+   before the exchange: the least document's goes on, the others' are told apart in the same pass.
+3. In a bucket the windows are put in suffix order up to ``LENGTH`` bytes, with the lengths that neighbours
+   share. From each window the previous and the next one of a smaller document give its longest previous
+   factor; where that reaches ``LENGTH``, the window is removed. Equal strings are one here too, that of
+   the least document: to sort them all again took 1369 CPU seconds a GB, where 960 are allowed.
 4. The removed runs meet their document again, which is joined by its id in both directions from one
    exchange of the texts.
 
-Copies of a whole text are found by digest first and don't take part in 2 and 3. No group is larger than
-a bucket, whose number follows the bytes of the input; a string that millions of documents share reaches
-its bucket once from each task.
+A bucket's size follows from the number of buckets and thus the bytes of the input; a string that millions
+of documents share reaches its bucket once from each task. What can still fill a bucket is a short phrase
+that very many documents have in surroundings of their own: each of these is a different string.
 
 Defined cases: null texts are empty; texts under ``LENGTH`` bytes keep everything; rows with one id are
 one document, so none removes from another of them; a null id is neither smaller nor larger than another,
-so such rows keep everything; overlapping matches count in full.
+so such rows keep everything; overlapping matches count in full; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ from .common import steps
 
 LENGTH = 50
 GRAM = 24
-BUCKET_BYTES = 32 << 20
-BUCKETS = 48
+BUCKET_BYTES = 16 << 20
+BUCKETS = 8
+#: Columns of what goes to buckets, and of what passes through them.
+OUT = ["bucket", "doc_id", "blob"]
 MASK40 = np.uint64((1 << 40) - 1)
 _P = 0x9E3779B97F4A7C15
 
@@ -116,7 +120,7 @@ def _rows(names: list[str], *columns) -> pa.RecordBatch:
 
 
 def _announce(buckets: int):
-    """Documents -> (bucket, blob): each document's distinct minimisers, shortened to 40 bits."""
+    """Documents -> (bucket, null, blob) for the buckets: distinct minimisers, shortened to 40 bits; and (bucket, doc_id, blob): answers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -124,14 +128,23 @@ def _announce(buckets: int):
 
         def flush() -> pa.RecordBatch:
             ids, marks = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            order = np.argsort(marks, kind="stable")
+            ids, marks = ids[order], marks[order]
+            first = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]])
+            least = np.minimum.reduceat(ids, first)
+            several = least < np.maximum.reduceat(ids, first)
+            known = np.repeat(several, np.diff(np.append(first, len(ids))))
+            docs, answers = _answers(ids[known], marks[known])
+            # One record for each minimiser; those known to repeat need no answer.
+            ids, marks = least, marks[first]
             bucket = (marks % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((ids, bucket))
-            ids, marks, bucket = ids[order], marks[order], bucket[order]
+            order = np.argsort(bucket, kind="stable")
+            ids, marks, bucket, several = ids[order], marks[order], bucket[order], several[order]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             blobs = []
             for a, b in zip(cuts, np.append(cuts[1:], len(ids))):
-                blobs.append(_pack(np.diff(ids[a:b], prepend=0), (marks[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (marks[a:b] >> np.uint64(32)).astype(np.uint8)))
-            return _rows(["bucket", "blob"], pa.array(bucket[cuts], pa.int64()), pa.array(blobs, pa.binary()))
+                blobs.append(_pack(ids[a:b], (marks[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (marks[a:b] >> np.uint64(32)).astype(np.uint8), several[a:b].astype(np.uint8)))
+            return _rows(OUT, pa.array([*bucket[cuts].tolist(), *[d % buckets for d in docs]], pa.int64()), pa.array([*[None] * len(cuts), *docs], pa.int64()), pa.array([*blobs, *answers], pa.binary()))
 
         for batch in steps(batches):
             value, owner, _ = minimisers(_texts(batch))
@@ -150,25 +163,36 @@ def _announce(buckets: int):
     return run
 
 
-def _repeated(group: pa.Table) -> pa.Table:
-    """A bucket of announcements -> (doc_id, marks): the minimisers of a document that another has too."""
-    parts = [_unpack(b, np.int64, np.uint32, np.uint8) for b in group.column("blob").to_pylist()]
-    ids = np.concatenate([np.cumsum(p[0]) for p in parts])
-    marks = np.concatenate([p[1].astype(np.uint64) | (p[2].astype(np.uint64) << np.uint64(32)) for p in parts])
-    order = np.argsort(marks, kind="stable")
-    ids, marks = ids[order], marks[order]
-    first = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]])
-    several = np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
-    keep = np.repeat(several, np.diff(np.append(first, len(ids))))
-    ids, marks = ids[keep], marks[keep]
+def _answers(ids: np.ndarray, marks: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Documents and the minimisers of each, packed to five bytes."""
+    if not len(ids):
+        return [], []
     order = np.argsort(ids, kind="stable")
     ids, marks = ids[order], marks[order]
-    if not len(ids):
-        return pa.table({"doc_id": pa.array([], pa.int64()), "marks": pa.array([], pa.binary())})
     cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     five = np.ascontiguousarray(marks.view(np.uint8).reshape(-1, 8)[:, :5])
-    blobs = [five[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(ids)))]
-    return pa.table({"doc_id": pa.array(ids[cuts], pa.int64()), "marks": pa.array(blobs, pa.binary())})
+    return ids[cuts].tolist(), [five[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(ids)))]
+
+
+def _repeated(group: pa.Table) -> pa.Table:
+    """A bucket of announcements -> (doc_id, marks): the minimisers of a document that another has too; answers pass through."""
+    docs, blobs, parts = [], [], []
+    for doc, blob in zip(group.column("doc_id").to_pylist(), group.column("blob").to_pylist()):
+        if doc is None:
+            parts.append(_unpack(blob, np.int64, np.uint32, np.uint8, np.uint8))
+        else:
+            docs.append(doc), blobs.append(blob)
+    if parts:
+        ids, low, high, several = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        marks = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+        order = np.argsort(marks, kind="stable")
+        ids, marks, several = ids[order], marks[order], several[order]
+        first = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]])
+        again = (np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)) | (np.maximum.reduceat(several, first) > 0)
+        keep = np.repeat(again, np.diff(np.append(first, len(ids)))) & (several == 0)
+        more, answers = _answers(ids[keep], marks[keep])
+        docs, blobs = docs + more, blobs + answers
+    return pa.table({"doc_id": pa.array(docs, pa.int64()), "marks": pa.array(blobs, pa.binary())})
 
 
 def _unmark(blobs: list[bytes]) -> np.ndarray:
@@ -206,14 +230,21 @@ class _Strings:
 
 
 def _runs(gone: list[tuple[int, int, int, int]]) -> tuple[list[int], list[bytes]]:
-    """Removed runs by document: ids, and blobs of (text hash, place, length)."""
-    by: dict[int, list[tuple[int, int, int]]] = {}
-    for doc, text_hash, place, length in gone:
-        by.setdefault(doc, []).append((text_hash, place, length))
-    return list(by), [np.array(v, np.int64).tobytes() for v in by.values()]
-
-
-OUT = ["bucket", "doc_id", "blob"]
+    """Removed runs by document: ids, and blobs of (text hash, place, length), those that touch as one."""
+    if not gone:
+        return [], []
+    doc, text_hash, place, length = np.array(gone, np.int64).T
+    order = np.lexsort((place, text_hash, doc))
+    doc, text_hash, place, length = doc[order], text_hash[order], place[order], length[order]
+    other = np.r_[True, (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1])]
+    # The furthest end so far within a text; texts are set apart by an offset that no end reaches.
+    base = np.cumsum(other) * (np.int64(1) << 40)
+    end = np.maximum.accumulate(base + place + length)
+    new = np.flatnonzero(other | np.r_[True, (base + place)[1:] > end[:-1]])
+    last = np.append(new[1:] - 1, len(doc) - 1)
+    rows = np.stack((text_hash[new], place[new], end[last] - base[last] - place[new]), axis=1)
+    cuts = np.flatnonzero(np.r_[True, doc[new][1:] != doc[new][:-1]])
+    return doc[new][cuts].tolist(), [rows[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(rows)))]
 
 
 def _send(buckets: int):
@@ -260,14 +291,43 @@ def _send(buckets: int):
     return run
 
 
-def repeated_windows(strings: list[bytes], docs: list[int]) -> list[np.ndarray]:
-    """For each string, which of its windows also start in a string of a smaller document.
+def _bytes_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of their first bytes two different words of eight bytes share."""
+    z = x ^ y
+    out = np.zeros(len(z), np.int64)
+    for k in range(1, 8):
+        out += z < (np.uint64(1) << np.uint64(64 - 8 * k))
+    return out
+
 
-    The suffixes that are long enough, in the order of their first ``LENGTH`` bytes: where neighbours agree
-    in all of these, the least document of the run is the previous or next smaller one of every other.
+def _smaller(doc: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """How much each suffix shares with the previous one, in suffix order, of a smaller document; 0 without one.
+
+    ``shared`` has how much each shares with its neighbour before. Links to a suffix that isn't smaller are
+    followed by its own link, all at once, so their reach doubles; below ``least`` none is followed further.
+    """
+    to, low = np.arange(len(doc)) - 1, shared.copy()
+    at = np.arange(1, len(doc))
+    while True:
+        at = at[(to[at] >= 0) & (low[at] >= least)]
+        at = at[doc[to[at]] >= doc[at]]
+        if not len(at):
+            break
+        via = to[at]
+        low[at], to[at] = np.minimum(low[at], low[via]), to[via]
+    return np.where((to >= 0) & (low >= least), low, 0)
+
+
+def longest_previous_factors(strings: list[bytes], docs: list[int], length: int = LENGTH, least: int = 1) -> list[np.ndarray]:
+    """For each string and window of ``length`` bytes the longest match, up to ``length``, with one of a smaller document.
+
+    Matches under ``least`` bytes count as none. The windows are sorted as suffixes; the previous and the next
+    one of a smaller document share more with a window than any other of a smaller document.
     """
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    counts = sizes - LENGTH + 1
+    counts = np.maximum(0, sizes - length + 1)
+    if not counts.sum():
+        return [np.zeros(0, np.int64) for _ in strings]
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     owner = np.repeat(np.arange(len(strings)), counts)
     at = np.arange(int(counts.sum())) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.repeat(starts, counts)
@@ -275,18 +335,20 @@ def repeated_windows(strings: list[bytes], docs: list[int]) -> list[np.ndarray]:
     eight = np.zeros(len(data) - 7, np.uint64)
     for k in range(8):
         eight |= data[k : len(data) - 7 + k].astype(np.uint64) << np.uint64(8 * (7 - k))
-    offsets = [*range(0, LENGTH - 7, 8), LENGTH - 8]
+    offsets = [*range(0, length - 7, 8), length - 8]
     order = np.lexsort([eight[at + o] for o in reversed(offsets)])
-    equal = np.ones(len(order) - 1, bool)
-    for o in offsets:
-        column = eight[at[order] + o]
-        equal &= column[1:] == column[:-1]
-    doc = np.array(docs, np.int64)[owner]
-    first = np.flatnonzero(np.r_[True, ~equal])
-    least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
-    gone = np.zeros(len(order), bool)
-    gone[order] = least < doc[order]
-    return np.split(gone, np.cumsum(counts)[:-1])
+    doc = np.array(docs, np.int64)[owner][order]
+    at = at[order]
+    shared = np.full(len(at), length, np.int64)
+    shared[0] = 0
+    for o in reversed(offsets):
+        word = eight[at + o]
+        differ = np.flatnonzero(word[1:] != word[:-1]) + 1
+        shared[differ] = o + _bytes_shared(word[differ], word[differ - 1])
+    after = np.append(shared[1:], 0)
+    found = np.zeros(len(at), np.int64)
+    found[order] = np.maximum(_smaller(doc, shared, least), _smaller(doc[::-1], after[::-1], least)[::-1])
+    return np.split(found, np.cumsum(counts)[:-1])
 
 
 def _judge(group: pa.Table) -> pa.Table:
@@ -316,7 +378,8 @@ def _judge(group: pa.Table) -> pa.Table:
         size += sum(len(s) for s, _ in rows)
         if k + 1 < len(several) and size < 4 << 20:
             continue
-        for (string, refs), hit in zip(part, repeated_windows([s for s, _ in part], [r[0][0] for _, r in part])):
+        for (string, refs), factors in zip(part, longest_previous_factors([s for s, _ in part], [r[0][0] for _, r in part], least=LENGTH)):
+            hit = factors >= LENGTH
             if hit.any():
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
@@ -327,16 +390,14 @@ def _judge(group: pa.Table) -> pa.Table:
 
 
 def _cut(with_text: bool):
-    """(doc_id, text, whole, runs) -> what is left of each document."""
+    """(doc_id, text, runs) -> what is left of each document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             n_bytes, removed, spans, digests, kept_texts = [], [], [], [], []
-            for text, whole, runs in zip(_texts(batch), batch.column("whole").to_pylist(), batch.column("runs").to_pylist()):
+            for text, runs in zip(_texts(batch), batch.column("runs").to_pylist()):
                 kept, gone, n = text, 0, 0
-                if whole and len(text) >= LENGTH:
-                    kept, gone, n = b"", len(text), 1
-                elif runs:
+                if runs:
                     text_hash = xxhash.xxh64_intdigest(text) - (1 << 63)
                     rows = np.frombuffer(b"".join(runs), np.int64).reshape(-1, 3)
                     rows = rows[rows[:, 0] == text_hash]
@@ -370,20 +431,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with_id = rows.filter(F.col("doc_id").isNotNull())
     named = with_id.filter(F.octet_length("text") >= LENGTH)
 
-    marks = named.mapInArrow(_announce(buckets), "bucket long, blob binary").groupBy("bucket").applyInArrow(_repeated, "doc_id long, marks binary")
-    # Copies of a whole text: all but the least id go. The digest stands for the text, and only it is grouped.
-    digest = named.select("doc_id", F.md5("text").alias("digest"), F.octet_length("text").alias("n"))
-    copied = digest.groupBy("digest", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "n", "least")
-    copies = digest.join(copied, ["digest", "n"]).filter("doc_id > least").select("doc_id", "digest")
-
-    news = marks.select("doc_id", "marks", F.lit(None).cast("string").alias("digest")).union(copies.select("doc_id", F.lit(None).cast("binary"), "digest"))
-    news = news.groupBy("doc_id").agg(F.collect_list("marks").alias("marks"), F.collect_set("digest").alias("digests"))
-    met = with_id.join(news, "doc_id").withColumn("whole", F.array_contains("digests", F.md5("text"))).filter(~F.col("whole") & (F.size("marks") > 0))
-    sent = met.select("doc_id", "text", "marks").mapInArrow(_send(buckets), "bucket long, doc_id long, blob binary")
-    gone = sent.groupBy("bucket").applyInArrow(_judge, "doc_id long, runs binary")
-    known = gone.select("doc_id", "runs", F.lit(None).cast("string").alias("digest")).union(copies.select("doc_id", F.lit(None).cast("binary"), "digest"))
-    known = known.groupBy("doc_id").agg(F.collect_list("runs").alias("runs"), F.collect_set("digest").alias("digests"))
-    last = with_id.join(known, "doc_id", "left").select("doc_id", "text", F.coalesce(F.array_contains("digests", F.md5("text")), F.lit(False)).alias("whole"), "runs")
-    last = last.union(rows.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(False), F.lit(None).cast("array<binary>")))
+    told = named.mapInArrow(_announce(buckets), "bucket long, doc_id long, blob binary").groupBy("bucket").applyInArrow(_repeated, "doc_id long, marks binary")
+    marks = told.groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
+    sent = with_id.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_send(buckets), "bucket long, doc_id long, blob binary")
+    gone = sent.groupBy("bucket").applyInArrow(_judge, "doc_id long, runs binary").groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
+    last = with_id.join(gone, "doc_id", "left").select("doc_id", "text", "runs")
+    last = last.union(rows.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<binary>")))
     out = last.mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     return out.withColumnRenamed("doc_id", id_col)
