@@ -5,7 +5,7 @@ from sparkweft.plans import catalog
 from .oracle import SF, same
 
 #: The slow ones are held against SQL by the driver; what they call is tested on small graphs beside this.
-QUICK = "g_counts g_degree g_neighbors g_edge_endpoints g_set_weight g_remove_vertex dot_lines degree_centrality topk transpose view_filtered propmap_default propmap_dense symbol_codec factor_keys prior_error between_error se2_prior_error se2_between_error loss_eval loss_weight".split()
+QUICK = "g_counts g_degree g_neighbors g_edge_endpoints g_set_weight g_remove_vertex dot_lines degree_centrality topk transpose view_filtered propmap_default propmap_dense symbol_codec factor_keys prior_error between_error se2_prior_error se2_between_error loss_eval loss_weight g_vertex_property g_edge g_edge_type g_free_functions dot_labels dot_label_reader dfs_preorder dfs_target dfs_path dijkstra_path grid_distances cycle_witness propmap_interface factor_shape robust_error user_loss user_factor linearized gaussian_factor dense_kernels adapter_params adapter_jacobian adam".split()
 
 
 @pytest.mark.parametrize("name", QUICK)
