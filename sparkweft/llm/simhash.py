@@ -85,6 +85,22 @@ def fingerprints(texts: list[bytes], width: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """The 64-bit SimHash of each set of hashes, as int64; zero without any."""
+    out = np.zeros(len(sets), np.uint64)
+    for i, s in enumerate(sets):
+        ones = np.zeros(64, np.int64)
+        for k in range(0, len(s), 100_000):  # counted in parts
+            ones += np.unpackbits(s[k : k + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(2 * ones > len(s), bitorder="little").view(np.uint64)[0]
+    return out.view(np.int64)
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which fingerprints differ in ``RADIUS`` bits at most; unsigned, as bits of a signed number are counted in its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= RADIUS
+
+
 def _forest(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Edges of a spanning forest of the links among distinct fingerprints."""
     rest = fps
@@ -92,7 +108,7 @@ def _forest(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         edge, rest = [rest[0]], rest[1:]
         while edge and len(rest):
             f = edge.pop()
-            near = np.bitwise_count(rest ^ f) <= RADIUS
+            near = _near(rest, f)
             if near.any():
                 found, rest = rest[near], rest[~near]
                 yield np.full(len(found), f), found
@@ -110,7 +126,7 @@ def _links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not same.any():
             break
         a, b = fps[:-d][same], fps[d:][same]
-        near = np.bitwise_count(a ^ b) <= RADIUS
+        near = _near(a, b)
         out.append((a[near], b[near]))
     for start, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
         out.extend(_forest(fps[start : start + n]))

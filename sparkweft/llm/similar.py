@@ -1,12 +1,15 @@
-"""Near-duplicates by shingle similarity: every pair of Jaccard similarity 0.8 or more is found.
-
-Texts with the same set of shingles are one node. Two sets of that similarity share a shingle among the
-first fifth (and one more) of each, in any order that holds for all sets: these prefixes are the keys
-that are joined, so no pair is lost. The order puts shingles last that are common in a sample of texts,
-which keeps groups small whatever the sample is.
-
-Large clusters are joined up first, by links from one node of each key to the others, so that the search
-compares only what is not connected yet. A group of up to ``CROWD`` nodes emits its pairs. Pairs whose parity sketches
+"""Near-duplicates by SimHash and shingle similarity: every pair of Jaccard similarity 0.8 or more is found.
+
+Texts with the same set of shingles are one node. Nodes whose fingerprints differ in three bits at most are
+found first, by the multi-index hashing of ``simhash``, and linked where their sets are similar. Three bits
+miss many similar pairs, and no radius of 64 bits that finds them all leaves few candidates, so a second
+search makes the result whole: two sets of that similarity share a shingle among the first fifth (and one
+more) of each, in any order that holds for all sets. These prefixes are the keys that are joined, so no
+pair is lost. The order puts shingles last that are common in a sample of texts, which keeps groups small
+whatever the sample is.
+
+What the fingerprints have linked, and links from one node of each low key to the others, join up large
+clusters first, so that the second search compares only what is not connected yet. A group of up to ``CROWD`` nodes emits its pairs. Pairs whose parity sketches
 differ in more bits than similar sets could have shingles in one alone are none; each bit that differs
 needs a shingle of its own. A larger group is compared by sketches within its task. It emits the likely
 pairs, or where these are more than ``CROWD`` / 2 for each node, the nodes that have any: their whole sets
@@ -31,7 +34,8 @@ from sparkweft.operators.stars import star_components
 from sparkweft.storage import drop_scratch, materialise
 
 from .common import steps
-from .simhash import to_rows
+from .simhash import links as fingerprint_links
+from .simhash import set_fingerprints, to_rows
 
 WIDTH = 5
 #: Nodes of a key up to which their pairs are emitted.
@@ -102,7 +106,7 @@ def _common(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
-    """(doc_id, th, node, n, sketch, low, keys): a map."""
+    """(doc_id, th, node, n, fp, sketch, low, keys): a map."""
 
     def prefix(s: np.ndarray) -> np.ndarray:
         if not len(s):
@@ -115,12 +119,12 @@ def _keyed(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, width):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([_sketch(s) for s in sets], pa.binary()), _lists([s[:LOW] for s in sets]), _lists([prefix(s) for s in sets])],
-                ["doc_id", "th", "node", "n", "sketch", "low", "keys"],
+                [batch.column("doc_id"), batch.column("th"), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(set_fingerprints(sets)), pa.array([_sketch(s) for s in sets], pa.binary()), _lists([s[:LOW] for s in sets]), _lists([prefix(s) for s in sets])],
+                ["doc_id", "th", "node", "n", "fp", "sketch", "low", "keys"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, th long, node long, n int, sketch binary, low array<long>, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, th long, node long, n int, fp long, sketch binary, low array<long>, keys array<long>")
 
 
 def _sifted(docs: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -147,6 +151,17 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -
     return materialise(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), "sets")
 
 
+def _within_bits(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) that join up all nodes whose fingerprints differ in three bits at most, by multi-index hashing."""
+    faces = materialise(nodes.groupBy("fp").agg(F.min("node").alias("u"), F.count("*").alias("n")), "faces")
+    same = to_rows(nodes.select("fp", F.col("node").alias("v")), faces.filter("n > 1"), "fp").filter("u <> v").select("u", "v")
+    one, other = faces.select(F.col("fp").alias("a"), "u"), faces.select(F.col("fp").alias("b"), F.col("u").alias("v"))
+    near = fingerprint_links(faces.select("fp")).toDF("a", "b").join(one, "a").join(other, "b").select("u", "v")
+    found = materialise(same.union(near), "near")
+    drop_scratch(faces)
+    return found
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sketches allow that they are similar."""
 
@@ -304,15 +319,16 @@ def similar(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` (doc_id, text) -> (doc_id, component_id), one row per input row."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     keyed = materialise(_keyed(docs, _common(docs, width), width), "keyed")
-    nodes = materialise(keyed.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("low").alias("low"), F.first("keys").alias("keys")), "nodes")
+    nodes = materialise(keyed.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("low").alias("low"), F.first("keys").alias("keys")), "nodes")
     rows = materialise(keyed.select("doc_id", "node"), "rows")
     drop_scratch(keyed)
 
+    near = _within_bits(nodes)
     # From the node of each low key that has most copies to the others.
     low = nodes.select("node", "n", "copies", F.explode("low").alias("key"))
     hub = low.groupBy("key").agg(F.min(F.struct((-F.col("copies")).alias("c"), F.col("node").alias("u"), F.col("n").alias("m"))).alias("hub"), F.count("*").alias("k")).filter("k > 1")
     spokes = low.join(hub, "key").filter("node <> hub.u AND 5 * least(n, hub.m) >= 4 * greatest(n, hub.m)").select(F.col("hub.u").alias("u"), F.col("node").alias("v"))
-    spokes = materialise(spokes.distinct(), "spokes")
+    spokes = materialise(spokes.union(near).distinct(), "spokes")
     spokes = materialise(_likely(spokes, nodes), "spokes")
     ends = lambda p: p.select(F.col("u").alias("node")).union(p.select("v"))
     sets = _sets_of(docs, nodes, ends(spokes), width)

@@ -3,9 +3,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 
-from sparkweft.llm import similar, stages
+from sparkweft.llm import simhash, similar, stages
 
 
 def sets(text):
@@ -74,3 +76,38 @@ def test_stage_drops_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = Counter(r["doc_id"] for r in stages.near_dedup(spark, docs, "").collect())
     assert left == Counter(d for (d, _), c in zip(rows, components(rows)) if d is None or d == c)
+
+
+def fingerprint(text):
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sets(text)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_stage_joins_fingerprints_within_three_bits(spark, monkeypatch):
+    asked = []
+    found = similar._within_bits
+    monkeypatch.setattr(similar, "_within_bits", lambda nodes: asked.append((nodes.select("node", "fp").collect(), found(nodes))) or asked[-1][1])
+    rows = corpus()
+    stages.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    (nodes, pairs), *more = asked
+    assert not more
+    fps = {r["node"]: r["fp"] & (1 << 64) - 1 for r in nodes}
+    assert Counter(fps.values()) == Counter(fingerprint(" ".join(t)) if t else 0 for t in {tuple(sorted(sets(t))): (t or "").lower().split() for _, t in rows}.values())
+    got, want = ({n: n for n in fps} for _ in range(2))
+    linked = [(r["u"], r["v"]) for r in pairs.collect()]
+    near = [(u, v) for u in fps for v in fps if u < v and (fps[u] ^ fps[v]).bit_count() <= 3]
+    assert {(min(p), max(p)) for p in linked} <= set(near) and len(near) > 10
+    for root, some in ((got, linked), (want, near)):
+        for u, v in some:
+            a, b = sorted((root[u], root[v]))
+            root.update({n: a for n in root if root[n] == b})
+    assert got == want
+
+
+@pytest.mark.parametrize("others", [0, 20])  # compared all with all, and as a forest
+def test_links_see_the_highest_bit(others):
+    fps = np.sort(np.array([5, (5 ^ 0b11) - (1 << 63), -3, *(0x5555_5555_5555 * k for k in range(7, 7 + others))], np.int64))
+    u, v = simhash._links(np.zeros(len(fps), np.int64), fps)
+    got = {frozenset(p) for p in zip(u.tolist(), v.tolist())}
+    assert got <= {frozenset((a, b)) for a in fps.tolist() for b in fps.tolist() if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    assert frozenset((5, (5 ^ 0b11) - (1 << 63))) in got
