@@ -14,7 +14,9 @@ consecutive windows with one minimiser travel as one string.
    share. From each window the previous and the next one of a smaller document give its longest previous
    factor; where that reaches ``LENGTH``, the window is removed. Equal strings are one here too, that of
    the least document: to sort them all again took 1369 CPU seconds a GB, where 960 are allowed.
-4. The removed runs meet their document again, which is joined by its id in both directions from one
+4. A document's runs come from as many buckets as its windows lie in, which grows with the number of buckets.
+   So a bucket tells them in one row for each part of the documents, and a part makes one row of each
+   document. These meet their document again, which is joined by its id in both directions from one
    exchange of the texts.
 
 A bucket's size follows from the number of buckets and thus the bytes of the input; a string that millions
@@ -45,8 +47,9 @@ LENGTH = 50
 GRAM = 24
 BUCKET_BYTES = 16 << 20
 BUCKETS = 8
-#: Columns of what goes to buckets, and of what passes through them.
+#: Columns of what goes to buckets, and of what passes through them: answers, and parcels of runs.
 OUT = ["bucket", "doc_id", "blob"]
+SENT = ["bucket", "part", "blob"]
 MASK40 = np.uint64((1 << 40) - 1)
 _P = 0x9E3779B97F4A7C15
 
@@ -229,26 +232,47 @@ class _Strings:
         return first, gone
 
 
-def _runs(gone: list[tuple[int, int, int, int]]) -> tuple[list[int], list[bytes]]:
-    """Removed runs by document: ids, and blobs of (text hash, place, length), those that touch as one."""
-    if not gone:
-        return [], []
-    doc, text_hash, place, length = np.array(gone, np.int64).T
+def _merged(gone) -> list[np.ndarray]:
+    """Removed runs (id, text hash, place, length), in order, those that touch as one: the four columns."""
+    doc, text_hash, place, length = np.array(gone, np.int64).reshape(-1, 4).T
     order = np.lexsort((place, text_hash, doc))
     doc, text_hash, place, length = doc[order], text_hash[order], place[order], length[order]
-    other = np.r_[True, (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1])]
+    other = np.r_[True, (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1])][: len(doc)]
     # The furthest end so far within a text; texts are set apart by an offset that no end reaches.
     base = np.cumsum(other) * (np.int64(1) << 40)
     end = np.maximum.accumulate(base + place + length)
-    new = np.flatnonzero(other | np.r_[True, (base + place)[1:] > end[:-1]])
-    last = np.append(new[1:] - 1, len(doc) - 1)
-    rows = np.stack((text_hash[new], place[new], end[last] - base[last] - place[new]), axis=1)
-    cuts = np.flatnonzero(np.r_[True, doc[new][1:] != doc[new][:-1]])
-    return doc[new][cuts].tolist(), [rows[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(rows)))]
+    new = np.flatnonzero(other | np.r_[True, (base + place)[1:] > end[:-1]][: len(doc)])
+    last = np.append(new[1:] - 1, len(doc) - 1)[: len(new)]
+    return [doc[new], text_hash[new], place[new], end[last] - base[last] - place[new]]
+
+
+def _runs(gone) -> tuple[list[int], list[bytes]]:
+    """Removed runs by document: ids, and blobs of (text hash, place, length), those that touch as one."""
+    doc, *rest = _merged(gone)
+    rows = np.stack(rest, axis=1)
+    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
+    return doc[cuts].tolist(), [rows[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(rows)))]
+
+
+def _parcels(gone, parts: int) -> tuple[list[int], list[bytes]]:
+    """Removed runs by part, which has all of a document: parts, and one blob for each."""
+    columns = _merged(gone)
+    part = (_mix(columns[0].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, columns = part[order], [c[order] for c in columns]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+    return part[cuts].tolist(), [_pack(*(c[a:b] for c in columns)) for a, b in zip(cuts, np.append(cuts[1:], len(part)))]
+
+
+def _gathered(group: pa.Table) -> pa.Table:
+    """A part's parcels -> (doc_id, runs), one row for each document."""
+    parcels = [_unpack(blob, *[np.int64] * 4) for blob in group.column("blob").to_pylist()]
+    ids, runs = _runs(np.stack([np.concatenate([p[k] for p in parcels]) for k in range(4)], axis=1))
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "runs": pa.array(runs, pa.binary())})
 
 
 def _send(buckets: int):
-    """(doc_id, text, marks) -> (bucket, null, strings) for the buckets, and (null, doc_id, runs) that are known to go."""
+    """(doc_id, text, marks) -> (bucket, null, strings) for the buckets, and (bucket, part, runs) that are known to go."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Strings()
@@ -264,8 +288,8 @@ def _send(buckets: int):
                     np.array([r[0] for r in rows], np.uint64), np.array([len(r[1]) for r in rows], np.int64), np.frombuffer(b"".join(r[1] for r in rows), np.uint8),
                     np.array([len(r[2]) for r in rows], np.int64), np.array([x for r in rows for ref in r[2] for x in ref], np.int64),
                 ))
-            ids, runs = _runs(gone)
-            return _rows(OUT, pa.array([*by, *[d % buckets for d in ids]], pa.int64()), pa.array([*[None] * len(by), *ids], pa.int64()), pa.array([*blobs, *runs], pa.binary()))
+            parts, parcels = _parcels(gone, buckets)
+            return _rows(SENT, pa.array([*by, *parts], pa.int64()), pa.array([*[None] * len(by), *parts], pa.int64()), pa.array([*blobs, *parcels], pa.binary()))
 
         for batch in steps(batches):
             texts = _texts(batch)
@@ -351,14 +375,14 @@ def longest_previous_factors(strings: list[bytes], docs: list[int], length: int
     return np.split(found, np.cumsum(counts)[:-1])
 
 
-def _judge(group: pa.Table) -> pa.Table:
-    """A bucket of strings -> (doc_id, runs); runs known before pass through."""
+def _judge(group: pa.Table, parts: int) -> pa.Table:
+    """A bucket of strings -> (part, runs), one row for each part; runs known before pass through."""
     held = _Strings()
-    ids, runs = [], []
-    for doc, blob in zip(group.column("doc_id").to_pylist(), group.column("blob").to_pylist()):
-        if doc is not None:
-            ids.append(doc)
-            runs.append(blob)
+    known, parcels = [], []
+    for part, blob in zip(group.column("part").to_pylist(), group.column("blob").to_pylist()):
+        if part is not None:
+            known.append(part)
+            parcels.append(blob)
             continue
         marks, sizes, data, refs_of, refs = _unpack(blob, np.uint64, np.int64, np.uint8, np.int64, np.int64)
         data, at, k = data.tobytes(), 0, 0
@@ -385,8 +409,8 @@ def _judge(group: pa.Table) -> pa.Table:
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
                     gone += [(doc, text_hash, place + a, b - a + LENGTH - 1) for doc, text_hash, place in refs]
         part, size = [], 0
-    more_ids, more_runs = _runs(gone)
-    return pa.table({"doc_id": pa.array(ids + more_ids, pa.int64()), "runs": pa.array(runs + more_runs, pa.binary())})
+    more, found = _parcels(gone, parts)
+    return pa.table({"part": pa.array(known + more, pa.int64()), "blob": pa.array(parcels + found, pa.binary())})
 
 
 def _cut(with_text: bool):
@@ -399,7 +423,7 @@ def _cut(with_text: bool):
                 kept, gone, n = text, 0, 0
                 if runs:
                     text_hash = xxhash.xxh64_intdigest(text) - (1 << 63)
-                    rows = np.frombuffer(b"".join(runs), np.int64).reshape(-1, 3)
+                    rows = np.frombuffer(runs, np.int64).reshape(-1, 3)
                     rows = rows[rows[:, 0] == text_hash]
                     if len(rows):
                         rows = rows[np.argsort(rows[:, 1], kind="stable")]
@@ -433,9 +457,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     told = named.mapInArrow(_announce(buckets), "bucket long, doc_id long, blob binary").groupBy("bucket").applyInArrow(_repeated, "doc_id long, marks binary")
     marks = told.groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
-    sent = with_id.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_send(buckets), "bucket long, doc_id long, blob binary")
-    gone = sent.groupBy("bucket").applyInArrow(_judge, "doc_id long, runs binary").groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
+    sent = with_id.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_send(buckets), "bucket long, part long, blob binary")
+    judged = sent.groupBy("bucket").applyInArrow(lambda group: _judge(group, buckets), "part long, blob binary")
+    gone = judged.groupBy("part").applyInArrow(_gathered, "doc_id long, runs binary")
     last = with_id.join(gone, "doc_id", "left").select("doc_id", "text", "runs")
-    last = last.union(rows.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<binary>")))
+    last = last.union(rows.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("binary")))
     out = last.mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     return out.withColumnRenamed("doc_id", id_col)

@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from sparkweft.llm import suffixes
 from sparkweft.llm.suffixes import _runs, longest_previous_factors
 
 
@@ -33,3 +35,35 @@ def test_runs_that_touch_are_one():
     ids, blobs = _runs([(2, 5, 10, 5), (2, 5, 15, 5), (2, 5, 30, 2), (1, 7, 0, 50), (2, 6, 16, 4), (2, 5, 11, 2)])
     rows = {i: np.frombuffer(b, np.int64).reshape(-1, 3).tolist() for i, b in zip(ids, blobs)}
     assert rows == {1: [[7, 0, 50]], 2: [[5, 10, 10], [5, 30, 2], [6, 16, 4]]}
+
+
+def test_a_bucket_tells_runs_in_one_row_for_each_part():
+    r = random.Random(9)
+    repeated = [bytes(r.choice(b"abcdefgh") for _ in range(60)) for _ in range(40)]
+    buckets, rows = 8, []
+    for start in (0, 300):  # two tasks
+        texts = [b"".join([b"%d:" % d, *r.sample(repeated, 6)]) for d in range(start, start + 300)]
+        own = [(suffixes._mix(suffixes.minimisers([t])[0]) & suffixes.MASK40).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for t in texts]
+        batch = pa.record_batch({"doc_id": pa.array(range(start, start + 300)), "text": pa.array(texts, pa.binary()), "marks": pa.array([[m] for m in own], pa.list_(pa.binary()))})
+        rows += list(suffixes._send(buckets)([batch]))
+    sent = pa.Table.from_batches(rows)
+    out = []
+    for b in range(buckets):
+        group = sent.filter(pa.array([x == b for x in sent.column("bucket").to_pylist()]))
+        out.append(suffixes._judge(group, buckets))
+        assert len(out[-1]) <= sum(p is not None for p in group.column("part").to_pylist()) + buckets
+    told = pa.concat_tables(out)
+    assert len(told) <= 3 * buckets * buckets
+    found = {}
+    for p in range(buckets):
+        part = suffixes._gathered(told.filter(pa.array([x == p for x in told.column("part").to_pylist()])))
+        for d, runs in zip(part.column("doc_id").to_pylist(), part.column("runs").to_pylist()):
+            assert d not in found
+            found[d] = np.frombuffer(runs, np.int64).reshape(-1, 3)[:, 1:].tolist()
+    r = random.Random(9)
+    repeated = [bytes(r.choice(b"abcdefgh") for _ in range(60)) for _ in range(40)]
+    first = {}
+    for d in range(600):
+        text = b"".join([b"%d:" % d, *r.sample(repeated, 6)])
+        hit = {p + k for p in range(len(text) - 49) if first.setdefault(text[p : p + 50], d) < d for k in range(50)}
+        assert {p + k for p, n in found.get(d, []) for k in range(n)} == hit
