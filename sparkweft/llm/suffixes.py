@@ -48,7 +48,6 @@ GRAM = 24
 BUCKET_BYTES = 16 << 20
 BUCKETS = 8
 #: Columns of what goes to buckets, and of what passes through them: answers, and parcels of runs.
-OUT = ["bucket", "doc_id", "blob"]
 SENT = ["bucket", "part", "blob"]
 MASK40 = np.uint64((1 << 40) - 1)
 _P = 0x9E3779B97F4A7C15
@@ -123,7 +122,7 @@ def _rows(names: list[str], *columns) -> pa.RecordBatch:
 
 
 def _announce(buckets: int):
-    """Documents -> (bucket, null, blob) for the buckets: distinct minimisers, shortened to 40 bits; and (bucket, doc_id, blob): answers."""
+    """Documents -> (bucket, null, blob) for the buckets: distinct minimisers, shortened to 40 bits; and (bucket, part, blob): answers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -137,7 +136,7 @@ def _announce(buckets: int):
             least = np.minimum.reduceat(ids, first)
             several = least < np.maximum.reduceat(ids, first)
             known = np.repeat(several, np.diff(np.append(first, len(ids))))
-            docs, answers = _answers(ids[known], marks[known])
+            parts, answers = _answer_parcels(ids[known], marks[known], buckets)
             # One record for each minimiser; those known to repeat need no answer.
             ids, marks = least, marks[first]
             bucket = (marks % np.uint64(buckets)).astype(np.int64)
@@ -147,7 +146,7 @@ def _announce(buckets: int):
             blobs = []
             for a, b in zip(cuts, np.append(cuts[1:], len(ids))):
                 blobs.append(_pack(ids[a:b], (marks[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (marks[a:b] >> np.uint64(32)).astype(np.uint8), several[a:b].astype(np.uint8)))
-            return _rows(OUT, pa.array([*bucket[cuts].tolist(), *[d % buckets for d in docs]], pa.int64()), pa.array([*[None] * len(cuts), *docs], pa.int64()), pa.array([*blobs, *answers], pa.binary()))
+            return _rows(SENT, pa.array([*bucket[cuts].tolist(), *parts], pa.int64()), pa.array([*[None] * len(cuts), *parts], pa.int64()), pa.array([*blobs, *answers], pa.binary()))
 
         for batch in steps(batches):
             value, owner, _ = minimisers(_texts(batch))
@@ -177,14 +176,32 @@ def _answers(ids: np.ndarray, marks: np.ndarray) -> tuple[list[int], list[bytes]
     return ids[cuts].tolist(), [five[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(ids)))]
 
 
-def _repeated(group: pa.Table) -> pa.Table:
-    """A bucket of announcements -> (doc_id, marks): the minimisers of a document that another has too; answers pass through."""
-    docs, blobs, parts = [], [], []
-    for doc, blob in zip(group.column("doc_id").to_pylist(), group.column("blob").to_pylist()):
-        if doc is None:
+def _answer_parcels(ids: np.ndarray, marks: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
+    """Documents' minimisers by part, which has all of a document: parts, and one blob for each."""
+    part = (_mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    ids, marks, part = ids[order], marks[order], part[order]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+    low, high = (marks & np.uint64(0xFFFFFFFF)).astype(np.uint32), (marks >> np.uint64(32)).astype(np.uint8)
+    return part[cuts].tolist(), [_pack(ids[a:b], low[a:b], high[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(part)))]
+
+
+def _answered(group: pa.Table) -> pa.Table:
+    """A part's parcels of answers -> (doc_id, marks), one row for each document."""
+    parcels = [_unpack(blob, np.int64, np.uint32, np.uint8) for blob in group.column("blob").to_pylist()]
+    ids, low, high = (np.concatenate([p[k] for p in parcels]) for k in range(3))
+    docs, answers = _answers(ids, low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)))
+    return pa.table({"doc_id": pa.array(docs, pa.int64()), "marks": pa.array(answers, pa.binary())})
+
+
+def _repeated(group: pa.Table, buckets: int) -> pa.Table:
+    """A bucket of announcements -> (part, answers): the minimisers of a document that another has too; answers pass through."""
+    known, blobs, parts = [], [], []
+    for part, blob in zip(group.column("part").to_pylist(), group.column("blob").to_pylist()):
+        if part is None:
             parts.append(_unpack(blob, np.int64, np.uint32, np.uint8, np.uint8))
         else:
-            docs.append(doc), blobs.append(blob)
+            known.append(part), blobs.append(blob)
     if parts:
         ids, low, high, several = (np.concatenate([p[k] for p in parts]) for k in range(4))
         marks = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
@@ -193,9 +210,9 @@ def _repeated(group: pa.Table) -> pa.Table:
         first = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]])
         again = (np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)) | (np.maximum.reduceat(several, first) > 0)
         keep = np.repeat(again, np.diff(np.append(first, len(ids)))) & (several == 0)
-        more, answers = _answers(ids[keep], marks[keep])
-        docs, blobs = docs + more, blobs + answers
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "marks": pa.array(blobs, pa.binary())})
+        more, answers = _answer_parcels(ids[keep], marks[keep], buckets)
+        known, blobs = known + more, blobs + answers
+    return pa.table({"part": pa.array(known, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
 def _unmark(blobs: list[bytes]) -> np.ndarray:
@@ -455,8 +472,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with_id = rows.filter(F.col("doc_id").isNotNull())
     named = with_id.filter(F.octet_length("text") >= LENGTH)
 
-    told = named.mapInArrow(_announce(buckets), "bucket long, doc_id long, blob binary").groupBy("bucket").applyInArrow(_repeated, "doc_id long, marks binary")
-    marks = told.groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
+    told = named.mapInArrow(_announce(buckets), "bucket long, part long, blob binary").groupBy("bucket").applyInArrow(lambda group: _repeated(group, buckets), "part long, blob binary")
+    marks = told.groupBy("part").applyInArrow(_answered, "doc_id long, marks binary").select("doc_id", F.array("marks").alias("marks"))
     sent = with_id.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_send(buckets), "bucket long, part long, blob binary")
     judged = sent.groupBy("bucket").applyInArrow(lambda group: _judge(group, buckets), "part long, blob binary")
     gone = judged.groupBy("part").applyInArrow(_gathered, "doc_id long, runs binary")

@@ -67,3 +67,20 @@ def test_a_bucket_tells_runs_in_one_row_for_each_part():
         text = b"".join([b"%d:" % d, *r.sample(repeated, 6)])
         hit = {p + k for p in range(len(text) - 49) if first.setdefault(text[p : p + 50], d) < d for k in range(50)}
         assert {p + k for p, n in found.get(d, []) for k in range(n)} == hit
+
+
+def test_a_bucket_answers_in_one_row_for_each_part():
+    r = random.Random(4)
+    buckets = 4
+    texts = [bytes(r.choice(b"abcdefgh") for _ in range(90)) for _ in range(30)]
+    docs = [r.choice(texts) + b"%d" % d for d in range(200)]
+    told = pa.Table.from_batches([b for k in (0, 100) for b in suffixes._announce(buckets)([pa.record_batch({"doc_id": pa.array(range(k, k + 100)), "text": pa.array(docs[k : k + 100], pa.binary())})])])
+    of = lambda table, column, k: table.filter(pa.array([x == k for x in table.column(column).to_pylist()]))
+    answers = pa.concat_tables([suffixes._repeated(of(told, "bucket", b), buckets) for b in range(buckets)])
+    assert len(answers) <= 3 * buckets * buckets
+    parts = pa.concat_tables([suffixes._answered(of(answers, "part", p)) for p in range(buckets) if len(of(answers, "part", p))])
+    got = {d: set(suffixes._unmark([m]).tolist()) for d, m in zip(parts.column("doc_id").to_pylist(), parts.column("marks").to_pylist())}
+    own = [set((suffixes._mix(suffixes.minimisers([t])[0]) & suffixes.MASK40).tolist()) for t in docs]
+    many = {m for i, a in enumerate(own) for m in a if any(m in b for b in own[:i])}
+    # What one task has several times is told once, so each repeated minimiser of each document must be there.
+    assert len(got) == len(parts) and got == {d: a & many for d, a in enumerate(own) if a & many}
