@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkweft.graph import Graph, number_rows
+from sparkweft.plans.rounds import dealt_distinct
 
 #: Where the ids of one kind of vertex start, so that kinds don't meet.
 NATIONS, CUSTOMERS, SUPPLIERS, ORDERS, PARTS = 1_000, 1_000_000_000, 2_000_000_000, 1_000_000_000, 1_000_000_000_000
@@ -113,7 +114,7 @@ def purchases(spark: SparkSession, sf_dir: str) -> Graph:
     """Customers to their orders to the parts in these; directed and without cycles."""
     orders, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     vertices = _ids(table(spark, sf_dir, "customer"), "c_custkey").union(_ids(orders, "o_orderkey", ORDERS)).union(_ids(table(spark, sf_dir, "part"), "p_partkey", PARTS))
-    edges = orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + ORDERS).alias("dst")).union(line.select(F.col("l_orderkey") + ORDERS, F.col("l_partkey") + PARTS).distinct())
+    edges = orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + ORDERS).alias("dst")).union(dealt_distinct(line.select((F.col("l_orderkey") + ORDERS).alias("src"), (F.col("l_partkey") + PARTS).alias("dst")), "src"))
     return _graph(vertices, edges.withColumn("weight", F.lit(1.0)), True)
 
 
